@@ -55,67 +55,61 @@ _PARTS = {"y": "ya yb yc yd ye yf", "m": "ma mb", "d": "da db dd de df", "p": "p
 _TEMPLATE = _US + _US.join("".join(f"${{{g}}}" for g in groups.split()) for groups in _PARTS.values())
 
 
-def _days(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, in whole numbers."""
-    yy = y - F.when(m <= 2, 1).otherwise(0)
-    shifted = F.when(m > 2, m - 3).otherwise(m + 9)
-    floor = lambda a, n: F.floor(a / F.lit(n))
-    era = floor(yy, 400)
-    yoe = yy - era * 400
-    doy = floor(shifted * 153 + 2, 5) + d - 1
-    return era * 146_097 + yoe * 365 + floor(yoe, 4) - floor(yoe, 100) + doy - 719_468
+def _days(y: str, m: str, d: str) -> str:
+    """Days since 1970-01-01 of a proleptic Gregorian date, in whole numbers (SQL; y, m, d are names)."""
+    yy = f"({y} - if({m} <= 2, 1, 0))"
+    return f"({yy} * 365 + {yy} div 4 - {yy} div 100 + {yy} div 400 + (if({m} > 2, {m} - 3, {m} + 9) * 153 + 2) div 5 + {d} - 1 - 719468)"
+
+
+def _once(df: DataFrame, **values: str) -> DataFrame:
+    """`df` with each value computed once a row; a filter or projection above never copies the expression."""
+    return df.selectExpr("*", "inline(array(struct(" + ", ".join(f"{v} as {k}" for k, v in values.items()) + ")))")
+
+
+def _lookup(table: dict[str, int]) -> str:
+    return "map(" + ", ".join(f"'{k}', {v}" for k, v in table.items()) + ")"
 
 
 def parse_instants(df: DataFrame, text: str, zone: str, order: str, out: str = "utc_us") -> DataFrame:
     """`df` with `out`: microseconds since 1970-01-01 UTC of the column `text`, or null.
 
     `zone` and `order` name the columns with the time zone and the day/month order (DMY
-    or MDY) that hold where the text says neither. A text with another order than its
-    board's is read only if it is written year first or with a month's name. A date alone
-    is the day's first instant and 24:00 the next day's; a wall time that occurs twice is
-    the first and one that is skipped takes the offset before the change. Two-digit years
-    are 2000 to 2069 and 1970 to 1999. Epoch numbers of 10, 13 or 16 digits are seconds,
-    milliseconds and microseconds. Null: null, empty, any text that names no whole or no
-    real date or clock time, a numeric date without known order unless only one reading
-    exists, a local time without known zone. Every other column is kept as it is;
-    `text`, `zone` and `order` may have any name.
+    or MDY) that hold where the text says neither. A numeric date is read in its board's
+    order only. A date alone is the day's first instant and 24:00 the next day's; a wall
+    time that occurs twice is the first and one that is skipped takes the offset before
+    the change. Two-digit years are 2000 to 2069 and 1970 to 1999. Epoch numbers of 10,
+    13 or 16 digits are seconds, milliseconds and microseconds. Null: null, empty, any
+    text that names no whole or no real date or clock time, a numeric date without known
+    order unless only one reading exists, a local time without a zone name. Every other
+    column is kept as it is; a column named `out` is replaced. Expressions are SQL text:
+    a plan of this size is slow to build column by column.
     """
-    tidy = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.col(text), "[\\x{200B}-\\x{200F}\\x{FEFF}\\x{2060}\\x{00AD}]", ""), "[\\s\\p{Z}]+", " ")))
-    raw = F.split(F.regexp_replace(tidy, PATTERN, _TEMPLATE), _US)
-    part = {name: F.get("_t", F.lit(i + 1)) for i, name in enumerate(_PARTS)}
-    num = lambda name: F.when(part[name] != "", part[name].cast("int"))
+    keep = [c for c in df.columns if c != out]
+    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{zone}`").alias("_zone"), F.upper(F.trim(F.col(f"`{order}`"))).alias("_order"))
+    shown = F.regexp_replace("_text", "[\\x{200B}-\\x{200F}\\x{FEFF}\\x{2060}\\x{00AD}]", "")
+    tidy = F.lower(F.trim(F.regexp_replace(shown, "[\\s\\p{Z}]+", " ")))
+    split = base.select("*", F.explode(F.array(F.split(F.regexp_replace(tidy, PATTERN, _TEMPLATE), _US))).alias("_t"))
+    texts = _once(split, **{f"_p_{name}": f"get(_t, {i + 1})" for i, name in enumerate(_PARTS)})
+    num = lambda name: f"if(_p_{name} = '', null, cast(_p_{name} as int))"
     names = {n[:3]: i + 1 for table in (MONTHS_EN, MONTHS_KA) for i, n in enumerate(table)}
-    month_no = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    offsets = F.create_map(*(F.lit(x) for kv in ZONES.items() for x in kv))
-
-    p, q = num("p"), num("q")
-    upper = F.upper(F.trim(F.col(order)))
-    p_is_day = F.when(upper == "DMY", True).when(upper == "MDY", False).when((p > 12) & (q <= 12), True).when((q > 12) & (p <= 12), False).when(p == q, True)
-    year = num("y")
-    year = F.when(F.length(part["y"]) == 2, year + F.when(year < 70, 2000).otherwise(1900)).otherwise(year)
-    month = F.coalesce(num("m"), month_no[F.substring(part["n"], 1, 3)], F.when(p_is_day, q).otherwise(F.when(~p_is_day, p)))
-    day = F.coalesce(num("d"), F.when(p_is_day, p).otherwise(F.when(~p_is_day, q)))
-    sign = F.when(part["z"].rlike("[-−]"), -1).otherwise(1)
-    zdigits = F.regexp_replace(part["z"], "[^0-9]", "")
-    znum = F.when(F.length(zdigits) <= 2, zdigits.cast("int") * 60).otherwise(F.floor(zdigits.cast("int") / 100) * 60 + zdigits.cast("int") % 100)
-    offset = F.when(part["z"] == "", None).when(zdigits == "", offsets[part["z"]]).otherwise(sign * znum)
-
-    s1 = df.withColumn("_t", F.when(tidy.isNotNull(), raw))
-    s2 = s1.withColumn("_d", F.struct(year.alias("y"), month.alias("m"), day.alias("d"), num("h").alias("h"), num("mi").alias("mi"), num("s").alias("s"), part["ap"].alias("ap"), offset.alias("off")))
-    y, m, d, h, mi, s, ap = (F.col(f"_d.{c}") for c in ("y", "m", "d", "h", "mi", "s", "ap"))
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    length = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    real_date = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= length)
-    h24 = F.when(ap == "a", h % 12).when(ap == "p", h % 12 + 12).otherwise(h)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    hour_ok = F.when(ap.isin("a", "p"), h.between(1, 12)).otherwise((h <= 23) | ((h == 24) & (mi == 0) & (zero(s) == 0)))
-    real_time = h.isNull() | (hour_ok & (mi <= 59) & (zero(s) <= 59))
-    fraction = zero(F.rpad(part["f"], 6, "0").cast("long"))
-    wall = _days(y, m, d).cast("long") * _DAY_US + (zero(h24).cast("long") * 3600 + zero(mi) * 60 + zero(s)) * 1_000_000 + F.when(part["f"] == "", 0).otherwise(fraction)
-    epoch = part["e"].cast("long") * F.when(F.length(part["e"]) == 10, 1_000_000).when(F.length(part["e"]) == 13, 1_000).otherwise(1)
-    in_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_w")), F.col("_z")))
-    known = F.col(zone).rlike("^[A-Za-z]+(/[A-Za-z_+\\-0-9]+)*$|^[+-][0-9]{2}:[0-9]{2}$")
-    s3 = s2.withColumn("_w", F.when(real_date & real_time, wall)).withColumn("_z", F.when(known, F.col(zone)))
-    off = F.col("_d.off")
-    instant = F.when(F.col("_t").isNull() | (F.size("_t") <= 1), None).when(part["e"] != "", epoch).when((part["z"] != "") & off.isNotNull(), F.when(F.abs(off) <= 18 * 60, F.col("_w") - off.cast("long") * 60_000_000)).when(part["z"] == "", in_zone)
-    return s3.withColumn("_u", instant).drop("_t", "_d", "_w", "_z", *([out] if out in df.columns else [])).withColumnRenamed("_u", out)
+    digits = "regexp_replace(_p_z, '[^0-9]', '')"
+    numbers = {
+        "y": f"if(length(_p_y) = 2, {num('y')} + if({num('y')} < 70, 2000, 1900), {num('y')})",
+        "m": f"if(_p_n = '', {num('m')}, {_lookup(names)}[substring(_p_n, 1, 3)])",
+        "d": num("d"), "p": num("p"), "q": num("q"), "h": num("h"), "mi": f"coalesce({num('mi')}, 0)", "s": f"coalesce({num('s')}, 0)", "ap": "_p_ap",
+        "us": "if(_p_f = '', 0L, cast(rpad(_p_f, 6, '0') as long))",
+        "off": f"case when _p_z = '' then null when {digits} = '' then {_lookup(ZONES)}[_p_z] else if(_p_z rlike '[-−]', -1, 1) * if(length({digits}) <= 2, cast({digits} as int) * 60, cast({digits} as int) div 100 * 60 + cast({digits} as int) % 100) end",
+        "e": "if(_p_e = '', null, cast(_p_e as long) * case length(_p_e) when 10 then 1000000L when 13 then 1000L else 1L end)",
+    }
+    ints = _once(texts, **{f"_n_{n}": e for n, e in numbers.items()})
+    day_first = "case when _order = 'DMY' then true when _order = 'MDY' then false when _n_p > 12 and _n_q <= 12 then true when _n_q > 12 and _n_p <= 12 then false when _n_p = _n_q then true end"
+    date = _once(
+        _once(ints, _df=day_first), _d_y="_n_y", _d_m="coalesce(_n_m, if(_df, _n_q, if(not _df, _n_p, null)))", _d_d="coalesce(_n_d, if(_df, _n_p, if(not _df, _n_q, null)))", _d_h="case _n_ap when 'a' then _n_h % 12 when 'p' then _n_h % 12 + 12 else _n_h end"
+    )
+    length = "case when _d_m in (4, 6, 9, 11) then 30 when _d_m = 2 then if((_d_y % 4 = 0 and _d_y % 100 <> 0) or _d_y % 400 = 0, 29, 28) else 31 end"
+    real = f"_d_y between 1 and 9999 and _d_m between 1 and 12 and _d_d between 1 and {length} and (_n_h is null or (_n_mi <= 59 and _n_s <= 59 and if(_n_ap <> '', _n_h between 1 and 12, _n_h <= 23 or (_n_h = 24 and _n_mi = 0 and _n_s = 0))))"
+    wall = f"if({real}, {_days('_d_y', '_d_m', '_d_d')} * {_DAY_US}L + (coalesce(_d_h, 0) * 3600L + _n_mi * 60 + _n_s) * 1000000L + _n_us, null)"
+    local = _once(date, _w=wall)
+    named = "_zone rlike '^[A-Za-z]+(/[A-Za-z0-9_+-]+)*$|^[+-][0-9]{2}:[0-9]{2}$'"
+    instant = f"case when _n_e is not null then _n_e when _p_z <> '' then if(abs(_n_off) <= 1080, _w - _n_off * 60000000L, null) when {named} then unix_micros(to_utc_timestamp(timestamp_micros(_w), _zone)) end"
+    return _once(local, _u=instant).select(*[F.col(f"`{c}`") for c in keep], F.col("_u").alias(out))
