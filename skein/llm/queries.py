@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.groups import groups_of
+from skein.llm.leaks import leaks
+from skein.llm.mixing import mix
 from skein.llm.places import map_places
 from skein.llm.residue import residue
 from skein.llm.survivors import status_stated, survivors, text_stated, time_stated, truth
@@ -40,11 +42,39 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_places(table(spark, sf_dir, "index_rows"), "row_id", "read_cities", table(spark, sf_dir, "curated_places"), "place_ref", ["name_ka", "name_en"], "aliases")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("run_share >= 0.5").select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold much of an item in its order, with its numbers, but not in long runs: reworded copies."""
+    return _leaks(spark, sf_dir).where("run_share < 0.5 and lcs_share >= 0.6 and answer_share >= 0.8").select("doc_id", "item_id", F.round("lcs_share", 3).alias("lcs_share"), F.round("answer_share", 3).alias("answer_share"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    import public_tokenizers as tokenizers
+
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"), "target_share", "max_repeats", path, tokenizers.PATTERN)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_truth": p5_truth, "p7_found": p7_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_truth": p5_truth, "p7_found": p7_found, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL = {
     # Transitive closure of labels over pairs and shared opportunities.
     "p3_found": """
