@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.groups import groups_of
 from skein.llm.leaks import leaks
+from skein.llm.linkage import linked
 from skein.llm.mixing import mix
 from skein.llm.places import map_places
 from skein.llm.residue import residue
 from skein.llm.survivors import status_stated, survivors, text_stated, time_stated, truth
+from skein.operators.instants import parse_instants
 from skein.sources.tables import table
 
 
@@ -38,6 +40,22 @@ def p5_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth(table(spark, sf_dir, "opportunity_details"), "opportunity_id", "source_slug", values)
 
 
+def _vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards = table(spark, sf_dir, "sources").select("source_slug", "zone_name", "date_order")
+    views = table(spark, sf_dir, "listing_views").join(boards, "source_slug", "left")
+    timed = parse_instants(views, "deadline_at", "zone_name", "date_order", "closes_us")
+    return linked(timed, "source_listing_id", "source_slug", "title", "organization", "closes_us", "first_seen_at")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vacancies(spark, sf_dir).where("confidence >= 0.5").select(F.col("left").alias("left_listing_id"), F.col("right").alias("right_listing_id"))
+
+
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by confidence, in tenths."""
+    return _vacancies(spark, sf_dir).groupBy(F.floor(F.col("confidence") * 10).alias("tenth")).agg(F.count("*").alias("n_pairs"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_places(table(spark, sf_dir, "index_rows"), "row_id", "read_cities", table(spark, sf_dir, "curated_places"), "place_ref", ["name_ka", "name_en"], "aliases")
 
@@ -74,7 +92,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_truth": p5_truth, "p7_found": p7_found, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_truth": p5_truth, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL = {
     # Transitive closure of labels over pairs and shared opportunities.
     "p3_found": """
