@@ -33,9 +33,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 PASSAGE, STEP = 64, 32
 #: Random test vectors of the SVD, and latent directions of the corpus that are kept.
-TEST_VECTORS, DIRECTIONS = 40, 32
-#: Cosine from which a passage's document is read exactly.
-NEAR = 0.25
+TEST_VECTORS, DIRECTIONS = 24, 16
+#: Cells of a block of passages by item words.
+BLOCK_CELLS = 4_000_000
+#: Cosine from which a passage's document is read exactly, and the share of an item below which a document holds too little of it.
+NEAR, LEAST = 0.5, 0.5
 #: Words of all items together, above which they no longer count as small.
 MAX_ITEM_WORDS = 20_000_000
 
@@ -79,19 +81,33 @@ def _encode(texts: list[str | None], vocabulary: Mapping[str, int]) -> list[byte
     return [np.array([get(w, -1) for w in words(t or "")], np.int32).astype("<i4" if len(vocabulary) > 32_000 else "<i2").tobytes() for t in texts]
 
 
-def _passages(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passages as (start in terms, owner), and the distinct known terms of each."""
-    starts, owners, terms, n = [], [], [], 0
-    for d, s in enumerate(seqs):
-        for a in range(0, max(1, len(s) - STEP), STEP):
-            t = s[a : a + PASSAGE]
-            t = np.unique(t[t >= 0])
-            if len(t) >= 4:
-                starts.append(n)
-                owners.append(d)
-                terms.append(t)
-                n += len(t)
-    return np.array(starts, np.int64), np.array(owners, np.int64), np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
+def _passages(seqs: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of passages: which known terms each holds (a dense 0/1 matrix), and the sequence each comes from.
+
+    A word at place p stands in the passages p // STEP and the one before.
+    """
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    slots = np.maximum(1, -(-lengths // STEP) - 1)
+    base = np.cumsum(slots) - slots
+    owner = np.repeat(np.arange(len(seqs)), slots)
+    if not lengths.sum():
+        return
+    terms = np.concatenate(seqs).astype(np.int64)
+    place = np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    last = np.repeat(base + slots - 1, lengths)
+    late = np.repeat(base, lengths) + place // STEP
+    early = np.maximum(late - 1, np.repeat(base, lengths))
+    known = terms >= 0
+    at, word = np.concatenate([np.minimum(late, last)[known], early[known]]), np.concatenate([terms[known]] * 2)
+    rows = int(max(16, min(1024, BLOCK_CELLS // max(size, 1))))
+    order = np.argsort(at // rows, kind="stable") if len(owner) > rows else np.arange(len(at))
+    at, word = at[order], word[order]
+    cuts = np.searchsorted(at // rows, np.arange(0, -(-len(owner) // rows) + 1))
+    for i in range(len(cuts) - 1):
+        here = owner[i * rows : (i + 1) * rows]
+        block = np.zeros((len(here), size), np.float32)
+        block[at[cuts[i] : cuts[i + 1]] - i * rows, word[cuts[i] : cuts[i + 1]]] = 1
+        yield block, here
 
 
 def _seqs(column: pa.Array, wide: bool) -> list[np.ndarray]:
@@ -126,13 +142,14 @@ def covered(doc: list[int], item: list[int], run: int) -> np.ndarray:
     return out
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 8, near: float = NEAR) -> DataFrame:
-    """(`key`, `item`, cosine, run_share, lcs_share, answer_share) for every document near an item.
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 8, near: float = NEAR, least: float = LEAST) -> DataFrame:
+    """(`key`, `item`, cosine, run_share, lcs_share, answer_share) for every document near an item of which it holds `least`, in order or in runs.
 
     cosine: the best passage's with the item in the latent space; run_share: the share of
     the item's words that stand in the document in runs of at least `run`; lcs_share: the
-    longest common subsequence as a share of the item; answer_share: of its numbers. A
-    document that holds an item in runs comes out with it as long as some passage reaches
+    longest common subsequence as a share of the item; answer_share: of its numbers. Pairs
+    of which the document doesn't know `least` of the item's words can have no such share
+    and aren't read further. A document that holds an item in runs comes out with it as long as some passage reaches
     `near`; the space keeps the items' inner products exactly, and a passage's norm in it is
     at most its own, so the cosine is never below that of plain TF-IDF. Null, empty or
     wordless texts come near nothing; copies of a document each have their rows; no items
@@ -160,9 +177,9 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, ite
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(size + 1, np.int64), 0
         for batch in _sliced(batches):
-            starts, _, terms = _passages(_seqs(batch.column("w"), wide))
-            df[:size] += np.bincount(terms, minlength=size)
-            n += len(starts)
+            for block, _ in _passages(_seqs(batch.column("w"), wide), size):
+                df[:size] += block.sum(axis=0).astype(np.int64)
+                n += len(block)
         df[size] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
@@ -180,14 +197,9 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, ite
         scaled = test * idf[:, None]
         out = np.zeros((size, test.shape[1]))
         for batch in _sliced(batches):
-            starts, _, terms = _passages(_seqs(batch.column("w"), wide))
-            if len(starts):
-                norm = np.add.reduceat(idf[terms] ** 2, starts)
-                y = np.add.reduceat(scaled[terms], starts) / norm[:, None]
-                spread = np.repeat(y, np.diff([*starts, len(terms)]), axis=0)
-                order = np.argsort(terms, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(terms[order]) > 0])
-                out[terms[order][first]] += np.add.reduceat(spread[order], first)
+            for block, _ in _passages(_seqs(batch.column("w"), wide), size):
+                norm = np.maximum(block @ (idf**2), 1e-9)
+                out += block.T @ ((block @ scaled) / norm[:, None])
         at = np.flatnonzero(np.abs(out).sum(axis=1))
         got = (out[at] * idf[at, None]).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, test.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(test.shape[1], dtype=np.int32), len(at))), pa.array(got)], names=["term", "j", "x"])
@@ -203,27 +215,38 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, ite
     def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, (idf, folding, targets) = shared.value, space.value
         places: dict[int, dict[int, int]] = {}
+        arrays = [np.array(q) for q in items.seqs]
         for batch in _sliced(batches):
             seqs = _seqs(batch.column("w"), wide)
-            starts, owners, terms = _passages(seqs)
             best: dict[tuple[int, int], float] = {}
-            for a in range(0, len(starts), 1024):
-                first, last = starts[a], starts[a + 1024] if a + 1024 < len(starts) else len(terms)
-                z = np.add.reduceat(folding[terms[first:last]], starts[a : a + 1024] - first)
+            for block, owners in _passages(seqs, size):
+                z = block @ folding
                 cos = z @ targets.T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
                 for p, i in zip(*np.nonzero(cos >= near), strict=True):
-                    pair = (int(owners[a + p]), int(i))
+                    pair = (int(owners[p]), int(i))
                     best[pair] = max(best.get(pair, 0.0), float(cos[p, i]))
-            rows = []
+            rows, at_doc, doc = [], -1, None
             for (d, i), c in sorted(best.items()):
-                doc, seq = seqs[d].tolist(), items.seqs[i]
+                seq = items.seqs[i]
+                if d != at_doc:
+                    at_doc, here = d, np.zeros(size + 1, bool)
+                    here[seqs[d]] = True
+                    here[-1] = False
+                    doc = None
+                if here[arrays[i]].sum() < least * len(seq):
+                    continue
+                doc = seqs[d].tolist() if doc is None else doc
                 if i not in places:
                     bits: dict[int, int] = {}
                     for j, w in enumerate(seq):
                         bits[w] = bits.get(w, 0) | 1 << j
                     places[i] = bits
+                lcs = longest_common(doc, places[i], len(seq)) / len(seq)
+                runs = float(covered(doc, seq, run).mean())
+                if max(lcs, runs) < least:
+                    continue
                 said = {w for w in seq if w in items.numeric}
-                rows.append((d, items.ids[i], c, float(covered(doc, seq, run).mean()), longest_common(doc, places[i], len(seq)) / len(seq), len(said & set(doc)) / len(said) if said else 1.0))
+                rows.append((d, items.ids[i], c, runs, lcs, len(said & set(doc)) / len(said) if said else 1.0))
             at = pa.array([r[0] for r in rows], pa.int64())
             rest = [pa.array([r[j] for r in rows], pa.float64()) for j in range(2, 6)]
             yield pa.RecordBatch.from_arrays([batch.column("k").take(at), pa.array([r[1] for r in rows], pa.int64()).cast(pa.int64() if ikind == "bigint" else pa.int32()), *rest], names=["k", "item", "cosine", "run_share", "lcs_share", "answer_share"])
