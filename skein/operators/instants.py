@@ -85,7 +85,7 @@ def parse_instants(df: DataFrame, text: str, zone: str, order: str, out: str = "
     a plan of this size is slow to build column by column.
     """
     keep = [c for c in df.columns if c != out]
-    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{zone}`").alias("_zone"), F.upper(F.trim(F.col(f"`{order}`"))).alias("_order"))
+    base = df.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{zone}`").alias("_zone"), F.upper(F.trim(F.col(f"`{order}`"))).alias("_order"))
     shown = F.regexp_replace("_text", "[\\x{200B}-\\x{200F}\\x{FEFF}\\x{2060}\\x{00AD}]", "")
     tidy = F.lower(F.trim(F.regexp_replace(shown, "[\\s\\p{Z}]+", " ")))
     split = base.select("*", F.explode(F.array(F.split(F.regexp_replace(tidy, PATTERN, _TEMPLATE), _US))).alias("_t"))
@@ -112,4 +112,4 @@ def parse_instants(df: DataFrame, text: str, zone: str, order: str, out: str = "
     local = _once(date, _w=wall)
     named = "_zone rlike '^[A-Za-z]+(/[A-Za-z0-9_+-]+)*$|^[+-][0-9]{2}:[0-9]{2}$'"
     instant = f"case when _n_e is not null then _n_e when _p_z <> '' then if(abs(_n_off) <= 1080, _w - _n_off * 60000000L, null) when {named} then unix_micros(to_utc_timestamp(timestamp_micros(_w), _zone)) end"
-    return _once(local, _u=instant).select(*[F.col(f"`{c}`") for c in keep], F.col("_u").alias(out))
+    return _once(local, _u=instant).select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(keep)], F.col("_u").alias(out))

@@ -221,7 +221,7 @@ def convert(amounts: DataFrame, unit: str, on: str, amount: str, rates: DataFram
     base = F.split(F.col(unit), "/")[0]
     part = F.when(F.col(unit).endswith("/100"), F.lit(Decimal("0.01"))).otherwise(F.lit(Decimal("1.00")))
     last = rates.groupBy("currency").agg(F.max("last_day").alias("_last")).withColumnRenamed("currency", "_lc")
-    keyed = amounts.withColumn("_c", base).join(last, F.col("_c") == F.col("_lc"), "left").withColumn("_on", F.least(F.col(on), F.col("_last")))
+    keyed = amounts.withColumn("_c", base).join(last, F.col("_c") == F.col("_lc"), "left").withColumn("_on", F.when(F.col(on).isNotNull(), F.least(F.col(on), F.col("_last"))))
     joined = keyed.join(rates.select(F.col("currency").alias("_rc"), F.col("day").alias("_rd"), F.col("per_unit").alias("_r")), (F.col("_c") == F.col("_rc")) & (F.col("_on") == F.col("_rd")), "left")
     rate = F.when(F.col("_c") == "GEL", F.lit(Decimal("1.0000000000"))).otherwise(F.col("_r"))
     monthly = (F.col(amount).cast("decimal(20,4)") * part * per_month.cast("decimal(10,6)")).cast("decimal(28,10)")
