@@ -57,14 +57,15 @@ _FRAME = re.compile(r"(?:©.*|(?:menu|back|home|next|previous|sign in|sign up|lo
 LATIN = set(
     "ac accumsan ad adipiscing aenean aliqua aliquam aliquet aliquip amet anim ante arcu at auctor augue aute bibendum blandit cillum commodo condimentum congue consectetur consequat convallis cras culpa cupidatat curabitur cursus dapibus deserunt diam dictum dignissim do dolor dolore donec dui duis ea efficitur egestas eget eiusmod eleifend elementum elit enim erat eros esse est et etiam eu euismod ex excepteur exercitation facilisis fames faucibus felis fermentum feugiat finibus fringilla fugiat fusce gravida habitant hendrerit iaculis id imperdiet in incididunt integer interdum ipsum irure justo labore laboris laborum lacinia lacus laoreet lectus leo libero ligula lobortis lorem luctus maecenas magna malesuada massa mattis mauris maximus metus mi minim molestie mollis mollit morbi nam nec neque nibh nisi nisl non nostrud nulla nullam nunc occaecat odio officia orci ornare pariatur pellentesque pharetra phasellus placerat porta porttitor posuere praesent pretium proident proin pulvinar purus quam qui quis quisque reprehenderit rhoncus risus rutrum sagittis sapien scelerisque sed sem semper senectus sint sit sodales sollicitudin suscipit suspendisse tellus tempor tempus tincidunt tortor tristique turpis ullamco ultrices ultricies urna ut varius vehicula vel velit veniam venenatis vestibulum vitae vivamus viverra volutpat voluptate vulputate".split()
 )
-#: Latin words running from which they are filler; words of a repeated phrase, and its times, from which it is; times a filler sentence is said.
-LATIN_RUN, CYCLE_WORDS, CYCLE_TIMES, FILLER_TIMES = 8, 8, 4, 3
+#: Latin words running from which they are filler, and words typed without looking; words of a repeated phrase, and its times, from which it is; times a filler sentence is said.
+LATIN_RUN, MASH_RUN, CYCLE_WORDS, CYCLE_TIMES, FILLER_TIMES = 8, 6, 8, 4, 3
 #: A notice counts if at most this many words stand beside it that are neither notice nor page frame.
 BESIDE = 10
 _DELIMITER = re.compile(r"[{\[]|%[%A-Z]|<<|<%|@@|__|\*\|")
 _SENTENCE = re.compile(r"(?:[^.!?…\n]|[.!?…](?!\s|$))+[.!?…]*")
 _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
 _MASH = ("xxx", "asdf", "qwer", "zxcv", "test", "ტესტ", "blah", "aaa", "goes here", "content here", "იქნება ტექსტი", "coming soon")
+_MASHED = re.compile(r"(\w)\1{2,}|(?:asdf|qwer|zxcv)\w{0,6}")
 _FILLER_WORDS = ("coming soon", "content", "here", "sample text", "placeholder", "click to edit", "to be added", "to follow", "მალე", "იქნება", "ნიმუში")
 # Parts of notices of which each has one: what sends a sentence to the grammars.
 _TELLING = "script cookie browser robot denied forbidden restricted permission session sign log unavailable offline maintenance construction available removed deleted exist found error wrong warning exception traceback failed refused timed undefined object] nan loading human captcha gateway unauthor blocked requests rate try verify down expects line back access lost სკრიპტ ქუქი javascript ბრაუზერ წვდომა რობოტ სესი ავტორიზაცია მიუწვდომ სამუშაოები ვერ აღარ შეცდომ სერვერ წაშლილ წაიშალა მოხსნილ უფლება შეჩერებ მუშაობს მოთხოვნა სცადეთ at turn switch".split()
@@ -110,6 +111,12 @@ def _filler(low: str) -> bool:
     words = low.split()
     if len(words) > CYCLE_WORDS and (3 * len(set(words)) <= len(words) or any(w in low for w in _MASH)) and _cyclic(words):
         return True
+    if any(w in low for w in _MASH[:4]):
+        run = 0
+        for w in words:
+            run = run + 1 if _MASHED.fullmatch(w) else 0
+            if run >= MASH_RUN:
+                return True
     if "ipsum" in low or "dolor" in low or "lorem" in low:
         run = 0
         for w in words:
