@@ -65,6 +65,6 @@ def word_score(found: Column, components: dict[str, tuple[float, Sequence[str],
     for weight, words, enough in components.values():
         if words:
             total += weight
-            hits = F.size(F.array_intersect(found, F.array(*map(F.lit, words))))
+            hits = F.coalesce(F.size(F.array_intersect(found, F.array(*map(F.lit, words)))), F.lit(0))
             score = score + F.lit(weight) * F.least(hits, F.lit(enough)) / F.lit(enough)
     return F.coalesce(score / F.lit(total), F.lit(0.0)) if total else F.lit(0.0)
