@@ -28,11 +28,11 @@ def unit(vector: Column) -> Column:
 def similar(queries: DataFrame, rows: DataFrame, query: str, key: str, vector: str, floor: float, most: int) -> DataFrame:
     """(`query`, `key`, score, rank): the `most` rows nearest each query by cosine that reach `floor` of its best.
 
-    Queries are a stated set and small: they go to every task in blocks, and each task keeps
-    its best `most` rows a query before anything is exchanged. A query does not find its own key.
-    Ties go to the smaller key.
+    Queries are a stated set, met with all rows in blocks (or sent whole where Catalyst knows
+    them to be small: there is no hint), and each task keeps its best `most` rows a query before
+    anything is exchanged. A query does not find its own key. Ties go to the smaller key.
     """
-    asked = F.broadcast(queries.select(F.col(query).alias("_q"), unit(F.col(vector)).alias("_qv")))
+    asked = queries.select(F.col(query).alias("_q"), unit(F.col(vector)).alias("_qv"))
     scored = rows.select(F.col(key).alias("_k"), unit(F.col(vector)).alias("_v")).join(asked, F.col("_k") != F.col("_q")).select("_q", "_k", F.round(dot(F.col("_qv"), F.col("_v")), 9).alias("score"))
     order = [F.desc("score"), F.col("_k")]
     part = scored.withColumn("_p", F.spark_partition_id())
@@ -74,10 +74,10 @@ def bayes_model(features: DataFrame, label: str, feature: str, weight: str, smoo
     seen = features.groupBy(label, feature).agg(F.sum(weight).alias("w"))
     n = features.select(feature).distinct().agg((F.count("*") * smoothing).alias("_v"))
     totals = seen.groupBy(label).agg(F.sum("w").alias("_t")).crossJoin(F.broadcast(n)).withColumn("_all", F.col("_t") + F.col("_v"))
-    likely = seen.join(F.broadcast(totals), label).select(label, feature, F.ln((F.col("w") + smoothing) / F.col("_all")).alias("log_likelihood"), F.ln(F.lit(smoothing) / F.col("_all")).alias("log_unseen"))
+    likely = seen.join(totals, label).select(label, feature, F.ln((F.col("w") + smoothing) / F.col("_all")).alias("log_likelihood"), F.ln(F.lit(smoothing) / F.col("_all")).alias("log_unseen"))
     counts = features.select("example", label).distinct().groupBy(label).agg((F.count("*") + prior).alias("c"))
     whole = counts.agg(F.sum("c").alias("_c"))
-    priors = counts.crossJoin(F.broadcast(whole)).join(F.broadcast(totals.select(label, F.ln(F.lit(smoothing) / F.col("_all")).alias("log_unseen"))), label).select(label, F.ln(F.col("c") / F.col("_c")).alias("log_prior"), "log_unseen")
+    priors = counts.crossJoin(F.broadcast(whole)).join(totals.select(label, F.ln(F.lit(smoothing) / F.col("_all")).alias("log_unseen")), label).select(label, F.ln(F.col("c") / F.col("_c")).alias("log_prior"), "log_unseen")
     return priors, likely
 
 
@@ -91,7 +91,7 @@ def bayes_classify(features: DataFrame, priors: DataFrame, likely: DataFrame, la
     rows = features.select("example", feature, weight).join(known, feature, "left_semi")
     weights = rows.groupBy("example").agg(F.sum(weight).alias("_w"))
     adds = rows.join(likely, feature).groupBy("example", label).agg(F.sum(F.col(weight) * (F.col("log_likelihood") - F.col("log_unseen"))).alias("_add"))
-    scored = weights.crossJoin(F.broadcast(priors)).join(adds, ["example", label], "left").select("example", label, (F.col("log_prior") + F.col("_w") * F.col("log_unseen") + F.coalesce("_add", F.lit(0.0))).alias("_s"))
+    scored = weights.crossJoin(priors).join(adds, ["example", label], "left").select("example", label, (F.col("log_prior") + F.col("_w") * F.col("log_unseen") + F.coalesce("_add", F.lit(0.0))).alias("_s"))
     top = scored.groupBy("example").agg(F.max("_s").alias("_m"))
     share = scored.join(top, "example").withColumn("_e", F.exp(F.col("_s") - F.col("_m")))
     return share.groupBy("example").agg(F.min(F.struct((-F.round("_s", 6)).alias("s"), F.col(label).alias("l"))).alias("_b"), F.sum("_e").alias("_sum"), F.max("_e").alias("_top")).select("example", F.col("_b.l").alias(label), F.round(F.col("_top") / F.col("_sum"), 6).alias("probability"))
