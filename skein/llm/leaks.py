@@ -38,8 +38,8 @@ TEST_VECTORS, DIRECTIONS = 24, 16
 BLOCK_CELLS = 4_000_000
 #: Cosine from which a passage's document is read exactly, and the share of an item below which a document holds too little of it.
 NEAR, LEAST = 0.5, 0.5
-#: Words of all items together, above which they no longer count as small.
-MAX_ITEM_WORDS = 20_000_000
+#: Letters of all items together, above which they no longer count as small.
+MAX_ITEM_LETTERS = 100_000_000
 
 
 def words(text: str) -> list[str]:
@@ -157,14 +157,15 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, ite
     of the corpus only frequencies and sums by item word come there.
     """
     spark = docs.sparkSession
+    letters = items.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
+    if letters > MAX_ITEM_LETTERS:
+        raise ValueError("the held-out items are too large to send to every task")
     known = Items([(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item).isNotNull()).distinct().collect()])
     kind, ikind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"k {kind}, item {ikind}, cosine double, run_share double, lcs_share double, answer_share double"
     names = lambda df: df.select(F.col("k").alias(key), F.col("item").alias(item), "cosine", "run_share", "lcs_share", "answer_share")
     if not known.ids:
         return names(spark.createDataFrame([], schema))
-    if sum(map(len, known.seqs)) > MAX_ITEM_WORDS:
-        raise ValueError("the held-out items are too large to send to every task")
     shared = spark.sparkContext.broadcast(known)
     size, wide = len(known.vocabulary), len(known.vocabulary) > 32_000
 

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from skein.session import cut
 
+#: Target rows above which they no longer count as few.
+MAX_TARGETS = 100_000
+
 _encoding: dict = {}
 
 
@@ -74,6 +77,8 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, s
     targets and one count by range and source come to the driver, nothing else.
     """
     spark = docs.sparkSession
+    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+        raise ValueError("there are too many targets to plan on the driver")
     wanted = {r[0]: (float(r[1]), int(r[2])) for r in targets.where(F.col(source).isNotNull()).groupBy(source).agg(F.max(share), F.max(repeats)).collect() if r[1] is not None and r[2] is not None}
     names = spark.createDataFrame([(s,) for s in wanted], f"{source} string")
     sized = token_counts(docs.join(F.broadcast(names), source, "left_semi"), key, source, text, path, pattern)

@@ -20,6 +20,9 @@ from skein.session import cut
 STAND_INS = ["unknown", "n/a", "na", "none", "null", "nil", "nan", "undefined", "tbd", "tba", "tbc", "not available", "not stated", "-", "--", "—", "–", "?", "??", "???", "0", "უცნობია", "უცნობი", "არ არის", "неизвестно"]
 STATUSES = ["discovered", "active", "missing_suspected", "closed", "expired", "quarantined"]
 
+#: Sources above which their weights no longer count as small.
+MAX_SOURCES = 1_000_000
+
 
 def text_stated(c: str) -> Column:
     """A text that is neither null, blank, a stand-in nor cut off at its end."""
@@ -66,7 +69,9 @@ def truth(records: DataFrame, group: str, source: str, values: Mapping[str, Colu
     said = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), v.cast("string").alias("v")) for f, v in values.items()))).alias("_x")
     claims = records.where(F.col(group).isNotNull() & F.col(source).isNotNull()).select(F.col(group).alias("_g"), F.col(source).alias("_s"), said).select("_g", "_s", "_x.f", "_x.v").where("v is not null").distinct()
     claims = cut(claims.repartition("_g"))
-    weights = {r["_s"]: 1.0 for r in claims.select("_s").distinct().collect()}
+    weights = {r["_s"]: 1.0 for r in claims.select("_s").distinct().limit(MAX_SOURCES + 1).collect()}
+    if len(weights) > MAX_SOURCES:
+        raise ValueError("there are too many sources to send their weights to every task")
     if not weights:
         return claims.select(F.col("_g").alias(group), F.col("f").alias("field_name"), F.col("v").alias("value"), F.lit(0.0).alias("support"), F.lit(0).cast("long").alias("n_sources"))
 
