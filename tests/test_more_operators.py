@@ -35,7 +35,7 @@ def test_predicates(spark, asked, ids):
     assert sorted(r["id"] for r in listings(spark).where(FIELDS.predicate(asked)).collect()) == ids
 
 
-def test_unknown_filter():
+def test_unknown_filter(spark):
     with pytest.raises(KeyError):
         FIELDS.predicate({"no": 1})
 
