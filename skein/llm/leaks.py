@@ -4,9 +4,11 @@ Method: latent semantic retrieval. Texts become sequences of word numbers over t
 vocabulary (once, written to the shared folder); overlapping passages are weighted by
 TF-IDF with document frequencies counted over the whole corpus; a distributed randomised
 SVD finds the corpus' main latent directions, to which the items' own directions are
-added, so that no item loses a part of itself; every passage is folded in and its cosine
-with every item taken. Documents and items that come near are then read exactly: runs of
-consecutive words, longest common subsequence, and the item's numbers (its answers).
+added, so that no item loses a part of itself; passages are folded in and their cosines
+with the items taken. The cosine is reported and decides nothing: which documents and items
+are read exactly (runs of consecutive words, longest common subsequence, the item's numbers)
+is decided by how many of the item's words the document knows, which bounds all of these
+from above however the words are scattered and however common they are.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 PASSAGE, STEP = 64, 32
 #: Random test vectors of the SVD, and latent directions of the corpus that are kept.
-TEST_VECTORS, DIRECTIONS = 24, 16
+TEST_VECTORS, DIRECTIONS = 40, 32
 #: Cells of a block of passages by item words.
 BLOCK_CELLS = 4_000_000
-#: Cosine from which a passage's document is read exactly, and the share of an item below which a document holds too little of it.
-NEAR, LEAST = 0.5, 0.5
+#: Share of an item below which a document holds too little of it.
+LEAST = 0.5
 #: Letters of all items together, above which they no longer count as small.
 MAX_ITEM_LETTERS = 100_000_000
 
@@ -69,6 +71,13 @@ class Items:
         self.seqs = [[self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w] for _, w in texts if w]
         self.numeric = {n for x, n in self.vocabulary.items() if x.isdigit()}
 
+    def counts(self) -> np.ndarray:
+        """How often each word (row) stands in each item (column)."""
+        out = np.zeros((len(self.vocabulary), len(self.ids)), np.float32)
+        for i, s in enumerate(self.seqs):
+            np.add.at(out[:, i], s, 1)
+        return out
+
     def weighted(self, idf: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
         for i, s in enumerate(self.seqs):
@@ -110,6 +119,19 @@ def _passages(seqs: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, n
         yield block, here
 
 
+def _known(seqs: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """How many words of each item (column) each sequence (row) knows."""
+    size = len(counts)
+    rows = int(max(16, min(1024, BLOCK_CELLS // max(size, 1))))
+    out = np.zeros((len(seqs), counts.shape[1]), np.float32)
+    for a in range(0, len(seqs), rows):
+        block = np.zeros((len(seqs[a : a + rows]), size), np.float32)
+        for j, s in enumerate(seqs[a : a + rows]):
+            block[j, s[s >= 0]] = 1
+        out[a : a + rows] = block @ counts
+    return out
+
+
 def _seqs(column: pa.Array, wide: bool) -> list[np.ndarray]:
     return [np.frombuffer(b.as_py(), "<i4" if wide else "<i2") for b in column]
 
@@ -132,27 +154,55 @@ def longest_common(a: list[int], where: Mapping[int, int], n: int) -> int:
 
 def covered(doc: list[int], item: list[int], run: int) -> np.ndarray:
     """Which words of the item stand in the document within runs of `run` or more consecutive words."""
+    return _covered(doc, range(len(doc) - run + 1), _grams(item, run), len(item), run)
+
+
+def _grams(item: list[int], run: int) -> dict[tuple, list[int]]:
     grams: dict[tuple, list[int]] = {}
     for j in range(len(item) - run + 1):
         grams.setdefault(tuple(item[j : j + run]), []).append(j)
-    out = np.zeros(len(item), bool)
-    for j in range(len(doc) - run + 1):
+    return grams
+
+
+def _covered(doc: list[int], starts: Iterable[int], grams: Mapping[tuple, list[int]], n: int, run: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    for j in starts:
         for k in grams.get(tuple(doc[j : j + run]), ()):
             out[k : k + run] = True
     return out
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 8, near: float = NEAR, least: float = LEAST) -> DataFrame:
-    """(`key`, `item`, cosine, run_share, lcs_share, answer_share) for every document near an item of which it holds `least`, in order or in runs.
+class _Reader:
+    """Reads one item in documents given as word numbers."""
+
+    def __init__(self, seq: list[int], size: int, run: int):
+        self.n, self.run, self.grams = len(seq), run, _grams(seq, run)
+        self.own = np.zeros(size + 1, bool)  # the last place is that of unknown words, -1
+        self.own[seq] = True
+        self.places: dict[int, int] = {}
+        for j, w in enumerate(seq):
+            self.places[w] = self.places.get(w, 0) | 1 << j
+
+    def shares(self, doc: np.ndarray) -> tuple[float, float]:
+        """(run_share, lcs_share); words that aren't the item's can stand in no run and in no common subsequence."""
+        own = self.own[doc]
+        so_far = np.concatenate([[0], np.cumsum(own)])
+        starts = np.flatnonzero(so_far[self.run :] - so_far[: -self.run] == self.run)
+        runs = _covered(doc.tolist(), starts.tolist(), self.grams, self.n, self.run) if len(starts) else np.zeros(self.n, bool)
+        return float(runs.mean()), longest_common(doc[own].tolist(), self.places, self.n) / self.n
+
+
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 8, least: float = LEAST) -> DataFrame:
+    """(`key`, `item`, cosine, run_share, lcs_share, answer_share) for every document and item of which it holds `least`, in order or in runs.
 
     cosine: the best passage's with the item in the latent space; run_share: the share of
     the item's words that stand in the document in runs of at least `run`; lcs_share: the
     longest common subsequence as a share of the item; answer_share: of its numbers. Pairs
     of which the document doesn't know `least` of the item's words can have no such share
-    and aren't read further. A document that holds an item in runs comes out with it as long as some passage reaches
-    `near`; the space keeps the items' inner products exactly, and a passage's norm in it is
+    and aren't read further; all others are, so that none is lost. The space keeps the items' inner products exactly,
+    and a passage's norm in it is
     at most its own, so the cosine is never below that of plain TF-IDF. Null, empty or
-    wordless texts come near nothing; copies of a document each have their rows; no items
+    wordless texts hold nothing; copies of a document each have their rows; no items
     or no documents give none. The items are read to the driver and their size is checked;
     of the corpus only frequencies and sums by item word come there.
     """
@@ -211,43 +261,31 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, ite
     latent = np.linalg.svd(b, full_matrices=False)[0][:, :DIRECTIONS]
     q = known.weighted(idf)
     basis = np.linalg.qr(np.concatenate([latent, q.T.astype(np.float64)], axis=1))[0]
-    space = spark.sparkContext.broadcast((idf, (basis * idf[:, None]).astype(np.float32), (q @ basis).astype(np.float32)))
+    space = spark.sparkContext.broadcast(((basis * idf[:, None]).astype(np.float32), (q @ basis).astype(np.float32)))
 
     def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, (idf, folding, targets) = shared.value, space.value
-        places: dict[int, dict[int, int]] = {}
-        arrays = [np.array(q) for q in items.seqs]
+        items, (folding, targets) = shared.value, space.value
+        counts = items.counts()
+        enough = np.array([least * len(s) for s in items.seqs])
+        readers: dict[int, _Reader] = {}
         for batch in _sliced(batches):
             seqs = _seqs(batch.column("w"), wide)
-            best: dict[tuple[int, int], float] = {}
-            for block, owners in _passages(seqs, size):
+            held = []
+            for d, i in zip(*np.nonzero(_known(seqs, counts) >= enough), strict=True):
+                if i not in readers:
+                    readers[i] = _Reader(items.seqs[i], size, run)
+                runs, lcs = readers[i].shares(seqs[d])
+                if max(lcs, runs) >= least:
+                    held.append((int(d), int(i), runs, lcs))
+            docs = sorted({d for d, *_ in held})
+            best = np.zeros((len(docs), len(items.ids)), np.float32)
+            for block, owners in _passages([seqs[d] for d in docs], size) if docs else ():
                 z = block @ folding
-                cos = z @ targets.T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                for p, i in zip(*np.nonzero(cos >= near), strict=True):
-                    pair = (int(owners[p]), int(i))
-                    best[pair] = max(best.get(pair, 0.0), float(cos[p, i]))
-            rows, at_doc, doc = [], -1, None
-            for (d, i), c in sorted(best.items()):
-                seq = items.seqs[i]
-                if d != at_doc:
-                    at_doc, here = d, np.zeros(size + 1, bool)
-                    here[seqs[d]] = True
-                    here[-1] = False
-                    doc = None
-                if here[arrays[i]].sum() < least * len(seq):
-                    continue
-                doc = seqs[d].tolist() if doc is None else doc
-                if i not in places:
-                    bits: dict[int, int] = {}
-                    for j, w in enumerate(seq):
-                        bits[w] = bits.get(w, 0) | 1 << j
-                    places[i] = bits
-                lcs = longest_common(doc, places[i], len(seq)) / len(seq)
-                runs = float(covered(doc, seq, run).mean())
-                if max(lcs, runs) < least:
-                    continue
-                said = {w for w in seq if w in items.numeric}
-                rows.append((d, items.ids[i], c, runs, lcs, len(said & set(doc)) / len(said) if said else 1.0))
+                np.maximum.at(best, owners, z @ targets.T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9))
+            row, rows = {d: j for j, d in enumerate(docs)}, []
+            for d, i, runs, lcs in held:
+                said = {w for w in items.seqs[i] if w in items.numeric}
+                rows.append((d, items.ids[i], float(best[row[d], i]), runs, lcs, len(said & set(seqs[d].tolist())) / len(said) if said else 1.0))
             at = pa.array([r[0] for r in rows], pa.int64())
             rest = [pa.array([r[j] for r in rows], pa.float64()) for j in range(2, 6)]
             yield pa.RecordBatch.from_arrays([batch.column("k").take(at), pa.array([r[1] for r in rows], pa.int64()).cast(pa.int64() if ikind == "bigint" else pa.int32()), *rest], names=["k", "item", "cosine", "run_share", "lcs_share", "answer_share"])

@@ -118,6 +118,22 @@ def test_leaks_against_brute_force(spark):
     assert leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_finds_items_in_scattered_runs(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(80))) for i in range(8)]
+    docs = []
+    for d in range(60):
+        own, body = items[d % 8][1].split(), []
+        for a in range(0, 8 * rng.randrange(4, 9), 8):  # 4 to 8 of 10 runs, each among 60 words of other items
+            other = [w for i, t in items if i != d % 8 for w in t.split()]
+            body += own[a : a + 8] + rng.sample(other, 60)
+        docs.append((d, " ".join(body)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks(df, "doc_id", "text", it, "item_id", "text").where("run_share >= 0.5").collect())
+    want = [(d, i) for d, text in docs for i, t in items if covered(words(text), words(t), 8).mean() >= 0.5]
+    assert got == want and len(want) > 30
+
+
 def test_plan():
     assert plan({"a": (10, 100), "b": (5, 50)}, {"a": (0.5, 2), "b": (0.5, 3), "c": (0.2, 9)}, None) == {"a": 1.5, "b": 3.0}
     assert plan({"a": (10, 100)}, {"a": (1.0, 2)}, 10_000) == {"a": 2.0}
