@@ -134,6 +134,20 @@ def test_leaks_finds_items_in_scattered_runs(spark):
     assert got == want and len(want) > 30
 
 
+def test_leaks_finds_an_item_that_a_third_of_the_documents_carry(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(80))) for i in range(8)]
+    rare, docs = [w for _, t in items[1:] for w in t.split()], []
+    for d in range(300):
+        if d % 3 == 0:  # the first half of one item in one piece, off the beginning of passages, among rarer words of the others
+            docs.append((d, " ".join(rng.sample(rare, 44) + items[0][1].split()[:40] + rng.sample(rare, 44))))
+        else:
+            docs.append((d, " ".join(f"x{rng.randrange(500)}" for _ in range(120))))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks(df, "doc_id", "text", it, "item_id", "text").where("run_share >= 0.5").collect())
+    assert got == [(d, 0) for d in range(0, 300, 3)]
+
+
 def test_plan():
     assert plan({"a": (10, 100), "b": (5, 50)}, {"a": (0.5, 2), "b": (0.5, 3), "c": (0.2, 9)}, None) == {"a": 1.5, "b": 3.0}
     assert plan({"a": (10, 100)}, {"a": (1.0, 2)}, 10_000) == {"a": 2.0}
