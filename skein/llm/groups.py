@@ -145,7 +145,7 @@ def groups_of(pairs: DataFrame, left: str, right: str, rows: DataFrame, member:
     even = lambda c: F.col(c).cast("long") * 2
     links = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(even(left).alias("x"), even(right).alias("y"))
     holds = rows.where(F.col(member).isNotNull() & F.col(shared).isNotNull()).select(even(member).alias("x"), (even(shared) + 1).alias("y"))
-    named = connected(links.unionByName(holds), "x", "y").where("v % 2 = 0").select((F.col("v") / 2).cast("long").alias(member), "label")
+    named = connected(links.unionByName(holds), "x", "y").where("v % 2 = 0").select(F.shiftright("v", 1).alias(member), "label")
     named = cut(named)
     sizes = named.groupBy("label").agg(F.min(member).alias("group_id"), F.count("*").alias("_n")).where("_n > 1")
     return named.join(sizes, "label").select(member, "group_id")

@@ -65,3 +65,11 @@ def test_empty(spark):
     pairs, rows = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "m long, o long")
     assert connected(pairs, "a", "b").count() == 0
     assert groups_of(pairs, "a", "b", rows, "m", "o").count() == 0
+
+
+def test_groups_of_keeps_large_ids(spark):
+    big = 2**53 + 1, 2**60 + 3, 2**62 - 1, -(2**61) - 1
+    pairs = spark.createDataFrame([(big[0], big[1]), (big[2], big[3])], "a long, b long")
+    rows = spark.createDataFrame([(big[0], 5), (2**53 + 3, 5)], "m long, o long")
+    got = sorted(map(tuple, groups_of(pairs, "a", "b", rows, "m", "o").collect()))
+    assert got == sorted([(big[0], big[0]), (big[1], big[0]), (2**53 + 3, big[0]), (big[2], big[3]), (big[3], big[3])])
