@@ -20,7 +20,7 @@ def text_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = F.concat(F.upper(F.substring("url", 1, 12)), F.substring(F.col("url"), 13, 1000), F.lit("/?utm_source=x&id="), F.col("source_listing_id").cast("string"), F.lit("&fbclid=1#top"))
+    tagged = F.concat(F.upper(F.substring("url", 1, 12)), F.substring("url", 13, F.length("url")), F.lit("/?utm_source=x&id="), F.col("source_listing_id").cast("string"), F.lit("&fbclid=1#top"))
     return table(spark, sf_dir, "index_rows").where("url is not null").select("row_id", X.url_key(tagged).alias("url_key"))
 
 

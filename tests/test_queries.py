@@ -35,3 +35,10 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_url_keys_of_long_links(spark, tmp_path):
+    links = ["https://board.example/" + "a" * n + tail for n in (10, 989, 990, 991, 3000) for tail in ("/x", "/y")]
+    spark.createDataFrame(list(enumerate(links)), "row_id long, url string").selectExpr("*", "row_id as source_listing_id").write.parquet(f"{tmp_path}/index_rows.parquet")
+    got = {r["row_id"]: r["url_key"] for r in CORE["text_url_keys"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"{u}?id={i}" for i, u in enumerate(links)}
