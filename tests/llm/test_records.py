@@ -67,5 +67,13 @@ def test_linked(spark):
     assert pairs(spark, rows) == [(1, 2), (1, 4), (2, 4), (2, 7), (4, 7)]
 
 
+def test_linked_by_deadline_however_late_a_board_is(spark):
+    day = 86_400_000_000
+    base = 20_500 * day
+    name, title = "LLC Tedzepagoia Group", "Senior Lawyer, Hotel"
+    rows = [(1, "a", title, name, base, t(0), ""), (2, "b", title, name, base + day, t(5 * 24), ""), (3, "c", title, name, base + 30 * day, t(30 * 24), ""), (4, "d", title, name, base + 29 * day, t(12 * 24), ""), (5, "e", title, None, base, t(5 * 24 + 1), "")]
+    assert pairs(spark, rows) == [(1, 2), (2, 5), (3, 4)]
+
+
 def test_linked_empty(spark):
     assert pairs(spark, []) == []
