@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.geo import metres
@@ -26,14 +26,32 @@ def version_step(open_versions: DataFrame, live: DataFrame, key: str, content: S
     return closed, opened
 
 
-def drift(snapshot: DataFrame, now: DataFrame, key: str, digest: str) -> DataFrame:
-    """One row: how many keys of a snapshot are gone, how many changed, how many are new, and the share that moved."""
+def steps_between(states: DataFrame, no: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(before, after) of all steps from one delivery to the next: every state but the last delivery's, every state but the first's.
+
+    `key` becomes the struct (`no`, `key`) with the later delivery's number; `no` itself goes. Deliveries
+    follow each other by number, with gaps or without; of them only the few numbers are sorted in one task.
+    """
+    order = Window.orderBy(no)
+    nos = states.select(no).distinct().select(F.col(no).alias("_no"), F.lag(no).over(order).alias("_before"))
+    steps = nos.where("_before is not null")
+
+    def side(at: str) -> DataFrame:
+        at_step = states.join(steps, F.col(no) == F.col(at))
+        return at_step.withColumn(key, F.struct(F.col("_no").alias(no), F.col(key).alias(key))).drop(no, "_no", "_before")
+
+    return side("_before"), side("_no")
+
+
+def drift(snapshot: DataFrame, now: DataFrame, key: str, digest: str, by: str | None = None) -> DataFrame:
+    """One row: how many keys of a snapshot are gone, how many changed, how many are new, and the share that moved; with `by`, a field of a struct `key`, one row for each of its values."""
     a = snapshot.select(F.col(key).alias("_k"), F.col(digest).alias("_a"))
     b = now.select(F.col(key).alias("_j"), F.col(digest).alias("_b"))
     both = a.join(b, F.col("_k") == F.col("_j"), "full_outer")
     gone, new = F.col("_j").isNull(), F.col("_k").isNull()
-    out = both.agg(F.count_if(gone).alias("gone"), F.count_if(new).alias("new"), F.count_if(~gone & ~new & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"), F.count("_k").alias("n"))
-    return out.select("gone", "new", "changed", F.when(F.col("n") > 0, F.round((F.col("gone") + F.col("changed")) / F.col("n"), 6)).otherwise(0.0).alias("share"))
+    sides = both.groupBy(F.coalesce("_k", "_j")[by].alias(by)) if by else both.groupBy()
+    out = sides.agg(F.count_if(gone).alias("gone"), F.count_if(new).alias("new"), F.count_if(~gone & ~new & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"), F.count("_k").alias("n"))
+    return out.select(*([by] if by else []), "gone", "new", "changed", F.when(F.col("n") > 0, F.round((F.col("gone") + F.col("changed")) / F.col("n"), 6)).otherwise(0.0).alias("share"))
 
 
 def trusted_pins(rows: DataFrame, key: str, lat: str, lng: str, city: str, street: str, most_streets: int = 2, reach: float = 30_000.0, near: float = 600.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import linking as L
+from skein.operators.steps import steps_between
 from skein.operators.units import daily_rates
 from skein.sources.tables import table
 
@@ -35,6 +36,24 @@ def link_refetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.refetch(known, seen, "source_listing_id", "digest").groupBy("action").agg(F.count("*").alias("n"))
 
 
+def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "listing_snapshots").groupBy("snapshot_no", "source_listing_id").agg(F.max(F.struct("delivered_at", "to_status", "title", "deadline_at", "last_seen_at")).alias("r"))
+    return steps_between(rows.select("snapshot_no", "source_listing_id", "r.*", (F.col("r.to_status") == "active").alias("is_open")), "snapshot_no", "source_listing_id")
+
+
+def link_outcomes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each delivery does to the one before, by outcome."""
+    done = L.outcomes(*_steps(spark, sf_dir), "source_listing_id", ["to_status", "title"], "last_seen_at", "is_open", ["deadline_at"])
+    return done.groupBy(F.col("source_listing_id.snapshot_no").alias("snapshot_no"), "outcome").agg(F.count("*").alias("n"), F.count_if("price_changed").alias("n_moved"))
+
+
+def link_refetch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each delivery has to fetch, by the one before."""
+    known, seen = (side.withColumn("digest", F.md5(F.coalesce("title", F.lit("")))) for side in _steps(spark, sf_dir))
+    known = known.withColumn("digest", F.when(F.col("source_listing_id.source_listing_id") % 9 != 0, F.col("digest")))
+    return L.refetch(known, seen, "source_listing_id", "digest").groupBy(F.col("source_listing_id.snapshot_no").alias("snapshot_no"), "action").agg(F.count("*").alias("n"))
+
+
 def link_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.flattened(table(spark, sf_dir, "curated_places"), "place_ref", "parent_ref", "name_en")
 
@@ -50,13 +69,23 @@ def link_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ONE = "(select * from (select source_listing_id, to_status, title, deadline_at, last_seen_at, row_number() over (partition by source_listing_id order by delivered_at desc nulls last, to_status desc nulls last, title desc nulls last, deadline_at desc nulls last, last_seen_at desc nulls last) as r from listing_snapshots where snapshot_no = {no}) where r = 1)"
-QUERIES = {f.__name__: f for f in (link_clusters, link_outcomes, link_refetch, link_tree, link_top, link_rates)}
+_PAIRS = """with n as (select snapshot_no as no, lag(snapshot_no) over (order by snapshot_no) as before from (select distinct snapshot_no from listing_snapshots)),
+        v as (select * from (select snapshot_no, source_listing_id, to_status, title, deadline_at, last_seen_at, row_number() over (partition by snapshot_no, source_listing_id order by delivered_at desc nulls last, to_status desc nulls last, title desc nulls last, deadline_at desc nulls last, last_seen_at desc nulls last) as r from listing_snapshots) where r = 1),
+        a as (select n.no, v.* from v join n on v.snapshot_no = n.before), b as (select n.no, v.* from v join n on v.snapshot_no = n.no where n.before is not null)"""
+QUERIES = {f.__name__: f for f in (link_clusters, link_outcomes, link_outcomes_all, link_refetch, link_refetch_all, link_tree, link_top, link_rates)}
 SQL = {
     "link_outcomes": f"""select outcome, count(*) as n, count(*) filter (moved) as n_moved from (
         select case when a.source_listing_id is null then 'new' when b.source_listing_id is null then case when a.to_status = 'active' then 'missing' else 'gone' end
             when a.to_status is distinct from 'active' then 'reopened' when a.to_status is distinct from b.to_status or a.title is distinct from b.title then 'changed' when b.last_seen_at > a.last_seen_at then 'bumped' else 'unchanged' end as outcome,
           a.source_listing_id is not null and b.source_listing_id is not null and a.deadline_at is distinct from b.deadline_at as moved
         from {_ONE.format(no=1)} a full outer join {_ONE.format(no=2)} b on a.source_listing_id = b.source_listing_id) group by 1""",
+    "link_outcomes_all": f"""{_PAIRS} select no as snapshot_no, outcome, count(*) as n, count(*) filter (moved) as n_moved from (
+        select coalesce(a.no, b.no) as no, case when a.source_listing_id is null then 'new' when b.source_listing_id is null then case when a.to_status = 'active' then 'missing' else 'gone' end
+            when a.to_status is distinct from 'active' then 'reopened' when a.to_status is distinct from b.to_status or a.title is distinct from b.title then 'changed' when b.last_seen_at > a.last_seen_at then 'bumped' else 'unchanged' end as outcome,
+          a.source_listing_id is not null and b.source_listing_id is not null and a.deadline_at is distinct from b.deadline_at as moved
+        from a full outer join b on a.no = b.no and a.source_listing_id = b.source_listing_id) group by 1, 2""",
+    "link_refetch_all": f"""{_PAIRS} select no as snapshot_no, action, count(*) as n from (select coalesce(a.no, b.no) as no, case when b.source_listing_id is null then 'drop' when a.source_listing_id is null then 'fetch' when a.source_listing_id % 9 = 0 then 'adopt' when md5(coalesce(a.title, '')) = md5(coalesce(b.title, '')) then 'skip' else 'fetch' end as action
+        from a full outer join b on a.no = b.no and a.source_listing_id = b.source_listing_id) group by 1, 2""",
     "link_refetch": f"""select action, count(*) as n from (select case when b.source_listing_id is null then 'drop' when a.source_listing_id is null then 'fetch' when a.source_listing_id % 9 = 0 then 'adopt' when md5(coalesce(a.title, '')) = md5(coalesce(b.title, '')) then 'skip' else 'fetch' end as action
         from {_ONE.format(no=1)} a full outer join {_ONE.format(no=2)} b on a.source_listing_id = b.source_listing_id) group by 1""",
     "link_tree": "with recursive t as (select place_ref, name_en as path, 0 as level from curated_places where parent_ref is null union all select c.place_ref, t.path || ' / ' || c.name_en, t.level + 1 from curated_places c join t on c.parent_ref = t.place_ref) select * from t",

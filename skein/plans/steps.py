@@ -25,6 +25,23 @@ def step_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drift(_state(spark, sf_dir, 3), _state(spark, sf_dir, 9), "source_listing_id", "to_status")
 
 
+def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    states = table(spark, sf_dir, "listing_snapshots").groupBy("snapshot_no", "source_listing_id").agg(F.max("to_status").alias("to_status"), F.max("deadline_at").alias("deadline_at"))
+    return S.steps_between(states, "snapshot_no", "source_listing_id")
+
+
+def step_versions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the step to each delivery from the one before closes and opens."""
+    closed, opened = S.version_step(*_steps(spark, sf_dir), "source_listing_id", ["to_status", "deadline_at"], F.lit(None))
+    both = closed.select("source_listing_id", F.lit("closed").alias("what"), "to_status").unionByName(opened.select("source_listing_id", F.lit("opened").alias("what"), "to_status"))
+    return both.select("source_listing_id.*", "what", "to_status")
+
+
+def step_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift from each delivery to the next."""
+    return S.drift(*_steps(spark, sf_dir), "source_listing_id", "to_status", by="snapshot_no")
+
+
 def step_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as places of nations (cities) and segments (streets), some of them astray."""
     k = F.col("c_custkey")
@@ -40,11 +57,19 @@ def step_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _S = "(select source_listing_id, max(to_status) as to_status, max(deadline_at) as deadline_at from listing_snapshots where snapshot_no = {no} group by 1)"
-QUERIES = {f.__name__: f for f in (step_versions, step_drift, step_pins, step_word_scores)}
+_PAIRS = """n as (select snapshot_no as no, lag(snapshot_no) over (order by snapshot_no) as before from (select distinct snapshot_no from listing_snapshots)),
+        v as (select snapshot_no, source_listing_id, max(to_status) as to_status, max(deadline_at) as deadline_at from listing_snapshots group by 1, 2),
+        b as (select coalesce(a.no, b.no) as no, a.source_listing_id as x, b.source_listing_id as y, a.to_status as s, b.to_status as t, a.deadline_at as p, b.deadline_at as q
+          from (select n.no, v.* from v join n on v.snapshot_no = n.before) a full outer join (select n.no, v.* from v join n on v.snapshot_no = n.no where n.before is not null) b on a.no = b.no and a.source_listing_id = b.source_listing_id)"""
+QUERIES = {f.__name__: f for f in (step_versions, step_versions_all, step_drift, step_drift_all, step_pins, step_word_scores)}
 SQL = {
     "step_versions": f"""with b as (select a.source_listing_id as x, b.source_listing_id as y, a.to_status as s, b.to_status as t from {_S.format(no=3)} a full outer join {_S.format(no=4)} b on a.source_listing_id = b.source_listing_id
           where a.source_listing_id is null or b.source_listing_id is null or a.to_status is distinct from b.to_status or a.deadline_at is distinct from b.deadline_at)
         select x as source_listing_id, 'closed' as what, s as to_status from b where x is not null union all select y, 'opened', t from b where y is not null""",
+    "step_versions_all": f"""with {_PAIRS}, m as (select * from b where x is null or y is null or s is distinct from t or p is distinct from q)
+        select no as snapshot_no, x as source_listing_id, 'closed' as what, s as to_status from m where x is not null union all select no, y, 'opened', t from m where y is not null""",
+    "step_drift_all": f"""with {_PAIRS}, c as (select no, count(*) filter (y is null) as gone, count(*) filter (x is null) as new, count(*) filter (x is not null and y is not null and s is distinct from t) as changed, count(x) as n from b group by 1)
+        select no as snapshot_no, gone, new, changed, case when n > 0 then round((gone + changed)::double / n, 6) else 0 end as share from c""",
     "step_drift": f"""with b as (select a.source_listing_id as x, b.source_listing_id as y, a.to_status as s, b.to_status as t from {_S.format(no=3)} a full outer join {_S.format(no=9)} b on a.source_listing_id = b.source_listing_id),
         c as (select count(*) filter (y is null) as gone, count(*) filter (x is null) as new, count(*) filter (x is not null and y is not null and s is distinct from t) as changed, count(x) as n from b)
         select gone, new, changed, round((gone + changed)::double / n, 6) as share from c""",

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from skein.operators import steps as S
 
 
@@ -38,3 +40,18 @@ def test_word_score(spark):
     wants = {"one": (0.5, ["a"], 1), "two": (0.5, ["b", "c"], 2), "none": (9.0, [], 1)}
     assert [r[0] for r in df.select(S.word_score(F.col("w"), wants)).collect()] == [0.75, 0.0, 0.0]
     assert [r[0] for r in df.select(S.word_score(F.col("w"), {})).collect()] == [0.0] * 3
+
+
+def test_steps_between_reach_every_delivery(spark):
+    states = spark.createDataFrame([(1, 10, "a"), (1, 11, "a"), (2, 10, "b"), (2, 11, "a"), (5, 10, "b"), (5, 12, "a"), (9, 12, "a")], "no int, k long, v string")
+    before, after = S.steps_between(states, "no", "k")
+    assert sorted(map(tuple, before.select("k.*", "v").collect())) == [(2, 10, "a"), (2, 11, "a"), (5, 10, "b"), (5, 11, "a"), (9, 10, "b"), (9, 12, "a")]
+    assert sorted(map(tuple, after.select("k.*", "v").collect())) == [(2, 10, "b"), (2, 11, "a"), (5, 10, "b"), (5, 12, "a"), (9, 12, "a")]
+    assert sorted(map(tuple, S.drift(before, after, "k", "v", by="no").collect())) == [(2, 0, 0, 1, 0.5), (5, 1, 1, 0, 0.5), (9, 1, 0, 0, 0.5)]
+
+
+@pytest.mark.parametrize("name", ["link_outcomes_all", "link_refetch_all", "step_versions_all", "step_drift_all"])
+def test_queries_of_steps_use_every_delivery(spark, name):
+    sf = "/root/testdata/sf0.001"
+    numbers = {r[0] for r in spark.read.parquet(f"{sf}/listing_snapshots.parquet").select("snapshot_no").distinct().collect()}
+    assert {r[0] for r in entry.queries()[name](spark, sf).select("snapshot_no").distinct().collect()} == numbers - {min(numbers)}
