@@ -17,25 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NAME = r"[\w.\-ა-ჰ ]{1,40}"
+# A name of a placeholder: words of letters, digits, dots and dashes; of any length, and read once (possessive), so that no text makes the grammars slow.
+_NAME = r"\s*+[\w.\-]++(?: ++[\w.\-]++)*+\s*+"
 # Placeholder grammars by delimiter, on the text as written.
 PLACEHOLDERS = {
-    "double brace": r"\{\{\{?\s*[#/^&>!]?\s*[\w.\-ა-ჰ |:'\"()]{1,60}?\s*\}?\}\}",
-    "block tag": r"\{%-?\s*\w[^%{}\n]{0,80}?-?%\}",
-    "page tag": r"<%[=\-#]?[^%<>\n]{1,80}?%>",
-    "dollar brace": r"\$\{\s*[A-Za-z_ა-ჰ][\w.\-]{0,40}\s*\}",
-    "hash brace": r"#\{\s*[A-Za-z_ა-ჰ][\w.\-]{0,40}\s*\}",
-    "percent": r"%%[A-Za-z_][\w.]{0,40}%%|(?<![\w%])%[A-Z][A-Z0-9_]{2,40}%(?![\w%])",
-    "double bracket": rf"\[\[\s*{_NAME}\s*\]\]",
-    "double at": r"@@[\w.]{2,40}@@",
-    "double underscore": r"(?<!\w)__[A-Z][A-Z0-9_]{1,40}__(?!\w)",
-    "chevrons": rf"<<\s*{_NAME}\s*>>",
-    "star bar": r"\*\|[A-Z0-9_:]{2,40}\|\*",
-    "single brace": r"(?<![{$#\w])\{(?:\d{1,2}|[a-z]{3,20}|[a-z][a-z0-9]*(?:[_.][a-z0-9]+)+)\}(?!\})",
-    "prompt": r"\[(?=[^\]\n]{0,80}(?:(?i:\b(?:your|insert|enter|add|type|fill|specify|write|put|replace)\b|\bhere\b)|ჩაწერეთ|ჩასვით|დაამატეთ|შეიყვანეთ|მიუთითეთ|შეავსეთ|თქვენი))[^\[\]\n]{3,80}\]",
+    "double brace": r"\{\{\{?\s*+[#/^&>!]?+[\w.\- |:'\"()\t]++\}?\}\}",
+    "block tag": r"\{%-?\s*+\w[^%{}\n]*+%\}",
+    "page tag": r"<%[=\-#]?+[^%<>\n]++%>",
+    "dollar brace": r"\$\{\s*+[A-Za-z_ა-ჰ][\w.\-]*+\s*+\}",
+    "hash brace": r"#\{\s*+[A-Za-z_ა-ჰ][\w.\-]*+\s*+\}",
+    "percent": r"%%[A-Za-z_][\w.]*+%%|(?<![\w%])%[A-Z][A-Z0-9_]{2,}+%(?![\w%])",
+    "double bracket": rf"\[\[{_NAME}\]\]",
+    "double at": r"@@[\w.]{2,}+@@",
+    "double underscore": r"(?<!\w)__[A-Z][A-Z0-9_]{3,}+(?<=__)(?!\w)",
+    "chevrons": rf"<<{_NAME}>>",
+    "star bar": r"\*\|[A-Z0-9_:]{2,}+\|\*",
+    "single brace": r"(?<![{$#\w])\{(?:\d{1,2}|[a-z]{3,}+|[a-z][a-z0-9]*+(?:[_.][a-z0-9]++)++)\}(?!\})",
+    "prompt": r"\[(?=[^\[\]\n]*?(?:(?i:\b(?:your|insert|enter|add|type|fill|specify|write|put|replace)\b|\bhere\b)|ჩაწერეთ|ჩასვით|დაამატეთ|შეიყვანეთ|მიუთითეთ|შეავსეთ|თქვენი))[^\[\]\n]{3,}+\]",
 }
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS.values()))
-_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|script|style)\b[^>]*>.*?</\1>|`[^`\n]{1,300}`", re.S | re.I)
+_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|script|style)\b[^<>]*+>.*?(?:</\1>|\Z)|`[^`\n]++`", re.S | re.I)
 _ABOUT = re.compile(r"templat|placeholder|variable|syntax|mustache|jinja|handlebars|snippet|tutorial|for example|e\.g\.|such as|curly|interpolat|შაბლონ|ცვლად|მაგალითად|სინტაქს|ფრჩხილ", re.I)
 
 # Notices by family, on lower-case text.
@@ -52,7 +53,7 @@ NOTICES = {
 _NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES.values()))
 _FILLER = re.compile(r"(?:description|text|content|details|information)(?: is)? (?:coming soon|goes here|here|to be added|to follow)|your (?:content|text|description|title) (?:goes )?here|sample text(?: goes)? here|placeholder text|click to edit|ტექსტი მალე|(?:აქ|აქ) იქნება (?:ტექსტი|აღწერა)|აღწერა მალე|ტექსტის ნიმუში|მალე დაემატება")
 # Words around a page's content that are no content.
-_FRAME = re.compile(r"(?:©.*|(?:menu|back|home|next|previous|sign in|sign up|log in|login|register|contact(?: us)?|jobs|terms of use|privacy(?: policy)?|cookies|sorry|notice|attention|მთავარი|ვაკანსიები|კონტაქტი|შესვლა|რეგისტრაცია|უკაცრავად|მენიუ|უკან|წესები)(?:\s*[|·•/,:]\s*|$))+", re.I)
+_FRAME = re.compile(r"©.*|(?:menu|back|home|next|previous|sign in|sign up|log in|login|register|contact(?: us)?|jobs|terms of use|privacy(?: policy)?|cookies|sorry|notice|attention|მთავარი|ვაკანსიები|კონტაქტი|შესვლა|რეგისტრაცია|უკაცრავად|მენიუ|უკან|წესები)(?:\s*+[|·•/,:]\s*|$)")
 # Words of the customary Latin filler, in alphabetical order.
 LATIN = set(
     "ac accumsan ad adipiscing aenean aliqua aliquam aliquet aliquip amet anim ante arcu at auctor augue aute bibendum blandit cillum commodo condimentum congue consectetur consequat convallis cras culpa cupidatat curabitur cursus dapibus deserunt diam dictum dignissim do dolor dolore donec dui duis ea efficitur egestas eget eiusmod eleifend elementum elit enim erat eros esse est et etiam eu euismod ex excepteur exercitation facilisis fames faucibus felis fermentum feugiat finibus fringilla fugiat fusce gravida habitant hendrerit iaculis id imperdiet in incididunt integer interdum ipsum irure justo labore laboris laborum lacinia lacus laoreet lectus leo libero ligula lobortis lorem luctus maecenas magna malesuada massa mattis mauris maximus metus mi minim molestie mollis mollit morbi nam nec neque nibh nisi nisl non nostrud nulla nullam nunc occaecat odio officia orci ornare pariatur pellentesque pharetra phasellus placerat porta porttitor posuere praesent pretium proident proin pulvinar purus quam qui quis quisque reprehenderit rhoncus risus rutrum sagittis sapien scelerisque sed sem semper senectus sint sit sodales sollicitudin suscipit suspendisse tellus tempor tempus tincidunt tortor tristique turpis ullamco ultrices ultricies urna ut varius vehicula vel velit veniam venenatis vestibulum vitae vivamus viverra volutpat voluptate vulputate".split()
@@ -65,7 +66,7 @@ _DELIMITER = re.compile(r"[{\[]|%[%A-Z]|<<|<%|@@|__|\*\|")
 _SENTENCE = re.compile(r"(?:[^.!?…\n]|[.!?…](?!\s|$))+[.!?…]*")
 _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
 _MASH = ("xxx", "asdf", "qwer", "zxcv", "test", "ტესტ", "blah", "aaa", "goes here", "content here", "იქნება ტექსტი", "coming soon")
-_MASHED = re.compile(r"(\w)\1{2,}|(?:asdf|qwer|zxcv)\w{0,6}")
+_MASHED = re.compile(r"(\w)\1{2,}|(?:asdf|qwer|zxcv)\w*")
 _FILLER_WORDS = ("coming soon", "content", "here", "sample text", "placeholder", "click to edit", "to be added", "to follow", "მალე", "იქნება", "ნიმუში")
 # Parts of notices of which each has one: what sends a sentence to the grammars.
 _TELLING = "script cookie browser robot denied forbidden restricted permission session sign log unavailable offline maintenance construction available removed deleted exist found error wrong warning exception traceback failed refused timed undefined object] nan loading human captcha gateway unauthor blocked requests rate try verify down expects line back access lost სკრიპტ ქუქი javascript ბრაუზერ წვდომა რობოტ სესი ავტორიზაცია მიუწვდომ სამუშაოები ვერ აღარ შეცდომ სერვერ წაშლილ წაიშალა მოხსნილ უფლება შეჩერებ მუშაობს მოთხოვნა სცადეთ at turn switch".split()
@@ -92,7 +93,8 @@ def _placeholder(text: str) -> bool:
         return False
     if sum(len(m[0]) for m in marks) * 4 > len(shown):
         return True
-    around = (shown[max(0, shown.rfind("\n", 0, m.start()), m.start() - 120) : m.start()] + " " + shown[m.end() : m.end() + 80].split("\n")[0] for m in marks)
+    near = lambda m: max(0, m.start() - 120)
+    around = (shown[max(near(m), shown.rfind("\n", near(m), m.start())) : m.start()] + " " + shown[m.end() : m.end() + 80].split("\n")[0] for m in marks)
     return not all(_ABOUT.search(a) for a in around)
 
 
@@ -132,8 +134,7 @@ def _notice(low: str) -> str:
     kind = ""
     for m in _SENTENCE.finditer(low):
         bare = unicodedata.normalize("NFKC", m[0]).strip()
-        if len(bare) < 400:
-            bare = _FRAME.sub("", bare).strip()
+        bare = _FRAME.sub("", bare).strip()
         words = len(bare.split())
         if not words:
             continue
