@@ -11,7 +11,7 @@ from skein.llm.linkage import linked
 from skein.llm.mixing import mix
 from skein.llm.places import map_places
 from skein.llm.residue import residue
-from skein.llm.survivors import status_stated, survivors, text_stated, time_stated, truth
+from skein.llm.survivors import MAX_RANKS, status_stated, steep, text_stated, time_stated, truth
 from skein.operators.instants import parse_instants
 from skein.sources.tables import table
 
@@ -21,23 +21,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_of(pairs, "left_listing_id", "right_listing_id", table(spark, sf_dir, "index_rows"), "source_listing_id", "opportunity_id")
 
 
-_FIELDS = {"canonical_title": text_stated, "canonical_status": status_stated, "deadline_at": time_stated}
+def _stated_values() -> dict:
+    """Titles without case and spacing, statuses, deadlines by the minute; null where the field isn't stated."""
+    return {
+        "canonical_title": F.when(text_stated("canonical_title"), F.lower(F.trim(F.regexp_replace("canonical_title", "[\\s\\p{Z}]+", " ")))),
+        "canonical_status": F.when(status_stated("canonical_status"), F.lower(F.trim("canonical_status"))),
+        "deadline_at": F.when(time_stated("deadline_at"), F.date_format("deadline_at", "yyyy-MM-dd HH:mm")),
+    }
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = table(spark, sf_dir, "sources").groupBy("source_slug").agg(F.min("trust_rank").alias("trust_rank"))
-    records = table(spark, sf_dir, "opportunity_details").join(ranks, "source_slug", "left")
-    return survivors(records, "opportunity_id", "record_id", {f: stated(f) for f, stated in _FIELDS.items()}, [F.col("trust_rank"), -F.unix_micros("updated_at")])
+    """The record that truth discovery takes each field from; boards vote by rank of trust, those without one last."""
+    boards = table(spark, sf_dir, "sources").where("trust_rank is not null").groupBy("source_slug").agg(F.min("trust_rank").alias("trust"))
+    ranks = [r["trust"] for r in boards.select("trust").distinct().limit(MAX_RANKS + 1).collect()]
+    details = table(spark, sf_dir, "opportunity_details")
+    many = details.groupBy("opportunity_id").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b")).where("a <> b").select("opportunity_id")
+    last = max(ranks, default=0) + 1
+    records = details.join(many, "opportunity_id", "left_semi").join(boards, "source_slug", "left").withColumn("trust", F.coalesce("trust", F.lit(last)))
+    found = truth(records, "opportunity_id", "trust", _stated_values(), record="record_id", latest=[-F.unix_micros("updated_at")], prior=steep({r: r for r in [*ranks, last]}))
+    return found.select("opportunity_id", "field_name", "record_id")
 
 
 def p5_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What truth discovery would let survive: titles without case and spacing, statuses, deadlines by the minute."""
-    values = {
-        "canonical_title": F.when(text_stated("canonical_title"), F.lower(F.trim(F.regexp_replace("canonical_title", "[\\s\\p{Z}]+", " ")))),
-        "canonical_status": F.when(status_stated("canonical_status"), F.lower(F.trim("canonical_status"))),
-        "deadline_at": F.when(time_stated("deadline_at"), F.date_format("deadline_at", "yyyy-MM-dd HH:mm")),
-    }
-    return truth(table(spark, sf_dir, "opportunity_details"), "opportunity_id", "source_slug", values)
+    """What truth discovery would let survive if nothing were known of the boards."""
+    return truth(table(spark, sf_dir, "opportunity_details"), "opportunity_id", "source_slug", _stated_values())
 
 
 def _vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
