@@ -76,8 +76,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold much of an item in its order, with its numbers, but not in long runs: reworded copies."""
-    return _leaks(spark, sf_dir).where("run_share < 0.5 and lcs_share >= 0.6 and answer_share >= 0.8").select("doc_id", "item_id", F.round("lcs_share", 3).alias("lcs_share"), F.round("answer_share", 3).alias("answer_share"))
+    """Documents with a passage near an item's that hold much of it in its order, with its numbers, but not in long runs: reworded copies."""
+    return _leaks(spark, sf_dir).where("run_share < 0.5 and cosine >= 0.5 and lcs_share >= 0.6 and answer_share >= 0.8").select("doc_id", "item_id", F.round("lcs_share", 3).alias("lcs_share"), F.round("answer_share", 3).alias("answer_share"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
