@@ -8,9 +8,10 @@ joined from small tables, so a new rate never touches the parser.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pandas as pd
@@ -48,10 +49,15 @@ UPPER = ["up to", "max", "max.", "maximum", "at most", "under", "below", "to", "
 
 #: Digits with thousands groups (a mark before exactly three digits), else with a decimal mark.
 _NUMBER = re.compile(r"(?<![\d.,])(?:\d{1,3}(?:[ .,'’]\d{3})+(?!\d)|\d+)(?:[.,]\d{1,2}(?!\d)|[.,]\d{4,}(?!\d))?")
-#: What makes a number no amount: a percentage, a count of times, a reference number.
+#: What makes a number no amount: a percentage, a count of times, a reference number, a time of day.
 _AFTER_NO = re.compile(r"\s*(?:%|პროცენტ|percent|-?\s?ჯერ|times\b|x\b)")
 _BEFORE_NO = re.compile(r"(?:(?<!\w)n|№|#|no\.)\s*$")
-_DASH = re.compile(r"\s*[-–—−]\s*$")
+_TIME = re.compile(r"(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?!\d)")
+#: What joins two amounts to a range, and what else may stand between them.
+_JOINS = re.compile(r"[-–—−]|დან|(?<!\w)(?:to|and|until|till)(?!\w)|\.\.")
+_BETWEEN = re.compile(r"(?:[\s\-–—−.()/+]|დან|(?<!\w)(?:to|and|until|till)(?!\w))*")
+#: Where a clause ends, outside of numbers and aliases.
+_CLAUSE = re.compile(r"[;|•]|[,.](?=\s)")
 
 _automaton = None
 
@@ -122,48 +128,96 @@ def parse_unit(text: str | None) -> tuple[str, int] | None:
 def parse_amounts(text: str | None) -> tuple[Decimal | None, Decimal | None, str | None, str | None] | None:
     """Pay text to (lower bound, upper bound, unit, period); None if it states no amount.
 
-    Only the first two amounts joined as a range count; a single amount is both bounds
+    A number or two joined as a range is an amount. Units and periods belong to the nearest amount of
+    their clause, those of a clause without one to the amount that is taken: the first that has a
+    unit of money, else the first with a period or scale, else the first (the field's context). A single amount is both bounds
     unless a bound word, a plus or a question mark leaves one side open.
     """
-    if not text or not (text := folded(text)):
+    if not text or not (text := re.sub(r" ?/ ?", "/", folded(text))):
         return None
     marks = _marks(text)
-    numbers = []
-    for m in _NUMBER.finditer(text):
-        if not _AFTER_NO.match(text, m.end()) and not _BEFORE_NO.search(text[: m.start()]):
-            scale = next((v for s, _, ms in marks for k, v in ms if k == "scale" and s >= m.end() and not text[m.end() : s].strip()), None)
-            numbers.append((m.start(), m.end(), _value(m[0]), scale))
+    numbers = _numbers(text, marks)
     if not numbers:
         return None
-    unit = next((v for _, _, ms in marks for k, v in ms if k == "unit"), None)
-    period = next((v for _, _, ms in marks for k, v in ms if k == "period"), None)
-    first, second = numbers[0], None
-    if len(numbers) > 1:
-        gap = text[first[1] : numbers[1][0]]
-        if re.search(r"[-–—−]|დან|(?<!\w)(?:to|and|until|till)(?!\w)|\.\.", gap):
-            second = numbers[1]
+    amounts = _joined(text, numbers, marks)
+    ends = [m.start() for m in _CLAUSE.finditer(text) if not any(s <= m.start() < e for s, e, _ in marks) and not any(n[0] <= m.start() < n[1] for n in numbers)]
+    clause = lambda at: bisect.bisect_left(ends, at)
+    clauses = [clause(a[0][0]) for a in amounts]
+    own: list[dict[str, tuple[int, str]]] = [{} for _ in amounts]
+    free: dict[str, list[tuple[int, int, str]]] = {"unit": [], "period": []}
+    for start, end, meanings in marks:
+        for kind, value in meanings:
+            if kind in free:
+                gaps = [(max(start - a[-1][1], a[0][0] - end, 0), start < a[0][0], i) for i, a in enumerate(amounts) if clauses[i] == clause(start)]
+                if not gaps:
+                    free[kind].append((start, end, value))
+                elif (gap := min(gaps))[0] < own[gap[2]].get(kind, (len(text) + 1, ""))[0]:
+                    own[gap[2]][kind] = (gap[0], value)
+    taken = next((i for i, o in enumerate(own) if "unit" in o), None)
+    if taken is None:
+        taken = next((i for i, o in enumerate(own) if "period" in o or any(n[3] for n in amounts[i])), 0)
+    at = amounts[taken]
+    said = lambda kind: own[taken][kind][1] if kind in own[taken] else min(((max(s - at[-1][1], at[0][0] - e), v) for s, e, v in free[kind]), default=(0, None))[1]
+    unit, period = said("unit"), said("period")
     amount = lambda n, scale: n[2] * 10 ** (scale or 0)
-    if second:
+    if len(at) == 2:
+        first, second = at
         shared = second[3] if first[3] is None and second[3] and first[2] <= second[2] else first[3]
         return amount(first, shared), amount(second, second[3]), unit, period
-    value = amount(first, first[3])
-    near = text[first[1] :]
-    tail = re.sub(r"^\s*(?:" + "|".join(re.escape(text[s:e]) for s, e, ms in marks if s >= first[1] and any(k in ("scale", "unit") for k, _ in ms)) + r")", "", near) if any(s >= first[1] for s, _, _ in marks) else near
-    bounds = {v for s, _, ms in marks for k, v in ms if k == "bound" and (s < first[0] or not re.search(r"\d", text[first[1] : s]))}
-    if re.match(r"\s*\+", near) or re.match(r"\s*\+(?!\s*[a-zა-ჰ])", tail) or re.match(r"\s*[-–—−]\s*\?", near) or re.match(r"\s*[-–—−]\s*\?", tail):
-        bounds = {"lo"}
-    elif re.search(r"\?\s*[-–—−]\s*[^\d]{0,4}$", text[: first[0]]):
-        bounds = {"hi"}
-    if bounds == {"lo"}:
-        return value, None, unit, period
-    if bounds == {"hi"}:
-        return None, value, unit, period
-    return value, value, unit, period
-
-
-_PAY = T.StructType().add("lo", T.DecimalType(20, 4)).add("hi", T.DecimalType(20, 4)).add("unit", "string").add("period", "string")
+    value, open_ = amount(at[0], at[0][3]), _open_side(text, at[0], marks, clause)
+    return None if open_ == "lo" else value, None if open_ == "hi" else value, unit, period
+
+
+def _numbers(text: str, marks: list) -> list[tuple[int, int, Decimal, int | None]]:
+    """(start, end, value, scale) of the numbers that may be amounts."""
+    times = [m.span() for m in _TIME.finditer(text)]
+    out = []
+    for m in _NUMBER.finditer(text):
+        if not _AFTER_NO.match(text, m.end()) and not _BEFORE_NO.search(text[max(0, m.start() - 8) : m.start()]) and not any(a <= m.start() < b for a, b in times):
+            scale = next((v for s, _, ms in marks for k, v in ms if k == "scale" and s >= m.end() and not text[m.end() : s].strip()), None)
+            out.append((m.start(), m.end(), _value(m[0]), scale))
+    return out
+
+
+def _joined(text: str, numbers: list, marks: list) -> list[list]:
+    """The amounts: numbers, two together where only units and a joining word or dash stand between them."""
+    out, i = [], 0
+    while i < len(numbers):
+        pair = numbers[i : i + 2]
+        if len(pair) == 2:
+            a, b = pair[0][1], pair[1][0]
+            bare, at = [], a
+            for s, e, _ in marks:
+                if a <= s and e <= b:
+                    bare.append(text[at:s])
+                    at = max(at, re.compile(r"\w*").match(text, e).end() if text[e - 1].isalpha() else e)
+            if not _JOINS.search(text[a:b]) or not _BETWEEN.fullmatch("".join([*bare, text[at:b]])):
+                pair = pair[:1]
+        out.append(pair)
+        i += len(pair)
+    return out
+
+
+def _open_side(text: str, number: tuple, marks: list, clause: Callable[[int], int]) -> str | None:
+    """Which side of a single amount is open: hi after "from" or before a plus, lo after "up to"; None if neither or both."""
+    start, end = number[:2]
+    tail = end
+    for s, e, ms in marks:
+        if s >= tail and not text[tail:s].strip() and any(k in ("scale", "unit") for k, _ in ms):
+            tail = e
+    if re.match(r"\s*\+|\s*[-–—−]\s*\?", text[end:]) or re.match(r"\s*\+(?!\s*[a-zა-ჰ])|\s*[-–—−]\s*\?", text[tail:]):
+        return "hi"
+    if re.search(r"\?\s*[-–—−]\s*[^\d]{0,4}$", text[:start]):
+        return "lo"
+    near = lambda s, e: clause(s) == clause(start) and not re.search(r"\d", text[e:start] if s < start else text[end:s])
+    bounds = {v for s, e, ms in marks for k, v in ms if k == "bound" and near(s, e)}
+    return {("lo",): "hi", ("hi",): "lo"}.get(tuple(bounds))
+
+
+_PAY = T.StructType().add("lo", T.DecimalType(26, 4)).add("hi", T.DecimalType(26, 4)).add("unit", "string").add("period", "string")
 _UNIT = T.StructType().add("unit", "string").add("power", "integer")
-_LIMIT = Decimal(10) ** 15
+#: Amounts from which no number of whole lari fits BIGINT: they are no amounts.
+_LIMIT = Decimal(10) ** 19
 
 
 def _sane(x: Decimal | None) -> Decimal | None:
@@ -215,7 +269,7 @@ def daily_rates(rates: DataFrame, currency: str, valid_from: str, quantity: str,
 def convert(amounts: DataFrame, unit: str, on: str, amount: str, rates: DataFrame, per_month: Column, out: str) -> DataFrame:
     """`out`: `amount` in whole base units (half up) by the rate in force on `on`; null where no rate is known.
 
-    `unit` is a code of CURRENCIES; GEL is the base. The rates join by currency and day,
+    `unit` is a code of CURRENCIES; GEL is the base. Results that BIGINT doesn't hold are null. The rates join by currency and day,
     so the join is an equi-join, and one with the rate table's bounded size.
     """
     base = F.split(F.col(unit), "/")[0]
@@ -224,8 +278,8 @@ def convert(amounts: DataFrame, unit: str, on: str, amount: str, rates: DataFram
     keyed = amounts.withColumn("_c", base).join(last, F.col("_c") == F.col("_lc"), "left").withColumn("_on", F.when(F.col(on).isNotNull(), F.least(F.col(on), F.col("_last"))))
     joined = keyed.join(rates.select(F.col("currency").alias("_rc"), F.col("day").alias("_rd"), F.col("per_unit").alias("_r")), (F.col("_c") == F.col("_rc")) & (F.col("_on") == F.col("_rd")), "left")
     rate = F.when(F.col("_c") == "GEL", F.lit(Decimal("1.0000000000"))).otherwise(F.col("_r"))
-    monthly = (F.col(amount).cast("decimal(20,4)") * part * per_month.cast("decimal(10,6)")).cast("decimal(28,10)")
-    whole = F.round((monthly * rate.cast("decimal(16,10)")), 0).cast("long")
+    monthly = (F.col(amount).try_cast("decimal(26,4)") * part * per_month.cast("decimal(10,6)")).try_cast("decimal(32,10)")
+    whole = F.round((monthly * rate.cast("decimal(16,10)")), 0).try_cast("long")
     return joined.withColumn(out, whole).drop("_c", "_lc", "_last", "_on", "_rc", "_rd", "_r")
 
 
@@ -234,15 +288,15 @@ def stated_amounts(rows: DataFrame, key: str, pay: str, value: str, value_unit:
 
     Pay without a unit is in GEL, without a period a month's; a period that `periods`
     doesn't know gives no row. A value needs a unit of money. No row: null or empty text,
-    no amount, an amount of zero or less, null or infinite values, or a foreign currency on a day
+    no amount, an amount of zero or less or from 1e19, one of more lari than BIGINT holds, null or infinite values, or a foreign currency on a day
     before its first rate or on no day at all. Rows repeat as often as `rows` repeat them;
     further columns are ignored whatever their names; an empty table gives none.
     """
     base = rows.select(F.col(key).alias("_key"), F.col(pay).alias("_pay"), F.col(value).cast("double").alias("_value"), F.col(value_unit).alias("_vu"), F.col(on).alias("_day"))
     read = base.where((F.trim(F.coalesce(F.col("_pay"), F.lit(""))) != "") | F.col("_value").isNotNull()).withColumn("_p", pay_parts("_pay")).withColumn("_u", unit_parts("_vu"))
     factor = periods.select(F.col("period_code").alias("_pc"), F.col("per_month").alias("_pm")).groupBy("_pc").agg(F.max("_pm").alias("_pm"))
-    worth = F.when((F.col("_value") > 0) & (F.col("_value") < 1e15), F.try_multiply(F.col("_value").cast("decimal(24,6)"), F.pow(F.lit(10.0), F.col("_u.power")).cast("decimal(13,0)")))
-    one = lambda name, amount, unit, period: F.struct(F.lit(name).alias("field"), amount.cast("decimal(24,6)").alias("amount"), unit.alias("unit"), period.alias("period"))
+    worth = F.when((F.col("_value") > 0) & (F.col("_value") < 1e19), F.try_multiply(F.col("_value").cast("decimal(26,6)"), F.pow(F.lit(10.0), F.col("_u.power")).cast("decimal(12,0)")))
+    one = lambda name, amount, unit, period: F.struct(F.lit(name).alias("field"), amount.try_cast("decimal(32,6)").alias("amount"), unit.alias("unit"), period.alias("period"))
     unit, period = F.coalesce(F.col("_p.unit"), F.lit("GEL")), F.coalesce(F.col("_p.period"), F.lit("month"))
     parts = F.array(one("salary_lo", F.col("_p.lo"), unit, period), one("salary_hi", F.col("_p.hi"), unit, period), one("value", worth, F.col("_u.unit"), F.lit("total")))
     long = read.select("_key", "_day", F.explode(parts).alias("_a")).select("_key", "_day", "_a.*").where(F.col("amount").isNotNull() & F.col("unit").isNotNull())

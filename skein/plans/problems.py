@@ -35,6 +35,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated_amounts(table(spark, sf_dir, "index_rows"), "row_id", "salary_raw", "value_amount", "value_currency", "stated_on", rates, table(spark, sf_dir, "pay_periods"))
 
 
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated values alone, which SQL can say too."""
+    return p2_found(spark, sf_dir).where("field_name = 'value'").select("row_id", "gel")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "discovered_listings").select(F.lit("discovered_listings").alias("table_name"), F.col("discovery_id").alias("row_key"), F.lit("publish_date").alias("field_name"), F.col("publish_date").alias("said"), "source_slug")
     views = table(spark, sf_dir, "listing_views")
@@ -62,7 +67,7 @@ diff as (select coalesce(l.source_slug, p.source_slug) as source_slug, coalesce(
          where p.k is null or l.k is null or l.a <> p.a or l.b <> p.b or l.c <> p.c or l.d <> p.d or l.e is distinct from p.e)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_by_board": p1_by_board, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_by_board": p1_by_board, "p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found}
 SQL = {
     "p1_found": _P1 + "select r.snapshot_no, d.source_listing_id, d.change_kind from diff d join runs r on r.source_slug = d.source_slug and r.k = d.k",
     "p1_by_board": _P1
@@ -70,4 +75,14 @@ SQL = {
          count(*) filter (change_kind = 'changed') as n_changed, count(*) filter (change_kind = 'changed' and b0 <> b1) as n_status,
          count(*) filter (change_kind = 'changed' and e0 is distinct from e1) as n_deadline
          from diff d join runs r on r.source_slug = d.source_slug and r.k = d.k group by 1, 2""",
+    # Unit texts as an explicit list; rates by an as-of join.
+    "p2_values": """
+with units(said, code, factor) as (values ('gel', 'GEL', 1.0), ('ლარი დ.ღ.გ-ს ჩათვლით', 'GEL', 1), ('ლარში', 'GEL', 1), ('₾', 'GEL', 1), ('lari', 'GEL', 1), ('ლარი', 'GEL', 1), ('ათ. ლარი', 'GEL', 1e3), ('gel thousand', 'GEL', 1e3), ('kgel', 'GEL', 1e3), ('1000 gel', 'GEL', 1e3), ('ათასი ლარი', 'GEL', 1e3),
+  ('მლნ ლარი', 'GEL', 1e6), ('მილიონი ლარი', 'GEL', 1e6), ('mln gel', 'GEL', 1e6), ('million gel', 'GEL', 1e6), ('თეთრი', 'GEL', 0.01), ('tetri', 'GEL', 0.01), ('usd', 'USD', 1), ('დოლარი', 'USD', 1), ('$', 'USD', 1), ('დოლარში', 'USD', 1), ('us$', 'USD', 1), ('usd thousand', 'USD', 1e3), ('ათასი დოლარი', 'USD', 1e3), ('k usd', 'USD', 1e3),
+  ('ევრო', 'EUR', 1), ('eur', 'EUR', 1), ('euro', 'EUR', 1), ('€', 'EUR', 1), ('euro cent', 'EUR', 0.01), ('eur cents', 'EUR', 0.01), ('֏', 'AMD', 1), ('amd', 'AMD', 1), ('gbp', 'GBP', 1), ('£', 'GBP', 1), ('rub', 'RUB', 1), ('₽', 'RUB', 1), ('try', 'TRY', 1), ('₺', 'TRY', 1)),
+rates as (select currency, valid_from, max(rate / quantity) as per_unit from fx_rates where quantity > 0 group by 1, 2),
+v as (select row_id, value_amount, code, factor, stated_on from index_rows join units on lower(trim(value_currency)) = said where value_amount > 0),
+told as (select row_id, value_amount, factor, 1.0 as per_unit from v where code = 'GEL'
+  union all select row_id, value_amount, factor, per_unit from v asof join rates r on v.code = r.currency and v.stated_on >= r.valid_from where code <> 'GEL')
+select row_id, cast(floor(value_amount * factor * per_unit + 0.5 + 1e-7) as bigint) as gel from told""",
 }
