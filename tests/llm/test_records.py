@@ -4,7 +4,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from skein.llm.linkage import dice, linked, loose, read_organization, read_title, vector
 from skein.llm.survivors import status_stated, survivors, text_stated, time_stated, truth
 
 RECORDS = "g long, id long, board string, rank int, title string, status string, due timestamp, at timestamp, _r string"
@@ -39,41 +38,3 @@ def test_truth_trusts_the_source_that_agrees(spark):
     got = {r["g"]: (r["value"], r["n_sources"]) for r in truth(df, "g", "s", {"f": F.col("v")}).collect()}
     assert got[9] == ("right", 1) and got[3] == ("v3", 2) and 10 not in got
     assert truth(df.limit(0), "g", "s", {"f": F.col("v")}).count() == 0
-
-
-def test_reading():
-    assert read_title("სასწრაფოდ! უმცროსი ლაორანტი, სასტუმრო") == ("junior", "laboratory assistant", "hotel", "")
-    assert read_title("Vacancy - Sr Designer (Night Shift) x3") == read_title("Uprosi dizaineri – ghamis tsvla") == ("senior", "designer", "night shift", "")
-    assert read_title(None) == read_title("") == ("", "", "", "")
-    assert read_title("Astronaut, Export") == ("", "", "export", "astronaut")
-    assert read_organization('შპს "თეძეპაგოია" ჯგუფი') == read_organization("LLC TEDZEPAGOIA GROUP") == ("tedzepagoia", "group")
-    assert loose("rikheri ghes") == loose("rixeri ges")
-    assert dice(vector("abcd"), vector("abcd")) == 1 and dice(vector(""), vector("a")) == 0
-
-
-def pairs(spark, rows):
-    df = spark.createDataFrame(rows, "id long, s string, title string, org string, closes_us long, seen timestamp, code string")
-    return sorted((r["left"], r["right"]) for r in linked(df, "id", "s", "title", "org", "closes_us", "seen").where("confidence >= 0.3").collect())
-
-
-def test_linked(spark):
-    day = 86_400_000_000
-    base = 20_500 * day
-    rows = [
-        (1, "a", "Senior Lawyer, Hotel", "LLC Tedzepagoia Group", base, t(0), ""), (2, "b", "უფროსი იურისტი - სასტუმრო", "თეძეპაგოია", base + day, t(30), ""), (3, "b", "Junior Lawyer, Hotel", "LLC Tedzepagoia Group", base, t(0), ""),
-        (4, "c", "Senior Lawyer (Hotel)", "Tedzepagioa Group", base, t(2), ""), (5, "c", "Senior Lawyer (Hotel)", "Tedzepagoia Group", base + 60 * day, t(60 * 24), ""), (6, "d", "Senior Lawyer (Hotel)", "Other Bank", base, t(2), ""), (7, "a", "Senior Lawyer, Hotel", "LLC Tedzepagoia Group", base, t(0), ""),
-        (8, "e", None, "LLC Tedzepagoia Group", base, t(0), ""), (9, None, "Senior Lawyer, Hotel", "Tedzepagoia", base, t(0), ""), (10, "f", "Senior Lawyer, Hotel", "Tedzepagoia", base, None, ""), (11, "g", "x" * 100_000, "", None, t(0), ""), (4, "c", "Senior Lawyer (Hotel)", "Tedzepagioa Group", base, t(2), ""),
-    ]
-    assert pairs(spark, rows) == [(1, 2), (1, 4), (2, 4), (2, 7), (4, 7)]
-
-
-def test_linked_by_deadline_however_late_a_board_is(spark):
-    day = 86_400_000_000
-    base = 20_500 * day
-    name, title = "LLC Tedzepagoia Group", "Senior Lawyer, Hotel"
-    rows = [(1, "a", title, name, base, t(0), ""), (2, "b", title, name, base + day, t(5 * 24), ""), (3, "c", title, name, base + 30 * day, t(30 * 24), ""), (4, "d", title, name, base + 29 * day, t(12 * 24), ""), (5, "e", title, None, base, t(5 * 24 + 1), "")]
-    assert pairs(spark, rows) == [(1, 2), (2, 5), (3, 4)]
-
-
-def test_linked_empty(spark):
-    assert pairs(spark, []) == []
