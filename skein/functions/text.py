@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 # Quotes that are dropped, legal forms, tracking parameters, case endings (longest first).
 QUOTES = "[\"'`„“”«»‘’]"
 PUNCTUATION = "[\\p{Punct}\\p{P}\\p{S}]+"
-LEGAL_FORMS = ["შპს", "სს", "ააიპ", "სსიპ", "ი/მ", "იმ", "llc", "ltd", "jsc", "nnle", "ngo", "gmbh", "inc", "plc", "ao", "ooo", "co", "corp"]
-TRACKING = ["utm_[a-z]+", "gclid", "fbclid", "yclid", "mc_cid", "mc_eid", "igshid", "ref", "source"]
-ENDINGS = ["ებისთვის", "ებიდან", "ისთვის", "ებში", "ებზე", "ების", "იდან", "ებს", "ით", "ის", "ში", "ზე", "ად", "ებ", "მა", "ს", "ი", "მ"]
+LEGAL_FORMS = ["შპს", "სს", "ააიპ", "სსიპ", "ი/მ", "ინდმეწარმე", "llc", "ltd", "ltda", "limited", "jsc", "inc", "co", "corp", "corporation", "gmbh", "llp", "plc"]
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "mc_cid", "mc_eid", "ref", "referrer", "source"]
+ENDINGS = [
+    "ებისთვის", "ებისგან", "ისთვის", "ისგან", "ისკენ", "ებთან", "ებიდან", "ებამდე", "ებში", "ებზე", "ებმა", "ებით", "ებად", "ების", "ებს", "ები", "თვის", "იდან", "ამდე", "თან", "დან", "გან", "ში", "ზე", "მა", "ის", "ით", "ად", "ს", "ი", "ო", "მ", "თ", "დ",
+]
 
 
 @F.pandas_udf(T.StringType())
@@ -75,10 +77,10 @@ def url_key(c: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A word without its case ending; at least three letters stay. Latin words lose a plural s."""
+    """A word without its case ending, the longest that leaves three letters; other words of four letters or more lose a plural s, but not of ss."""
     ending = "^(.{3,}?)(?:" + "|".join(ENDINGS) + ")$"
-    latin = F.when(word.rlike("^[a-z]{3,}[^s]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
-    return F.when(word.rlike("[ა-ჰ]"), F.regexp_replace(word, ending, "$1")).otherwise(latin)
+    plural = F.when(word.rlike("^.{2,}[^s]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    return F.when(word.rlike("[ა-ჰ]"), F.regexp_replace(word, ending, "$1")).otherwise(plural)
 
 
 def lexemes(c: Column) -> Column:
