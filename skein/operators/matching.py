@@ -108,7 +108,7 @@ def canonical(members: DataFrame, group: str, key: str, status: str, precedence:
     base = members.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_k"), rank.alias("_r"), *(c.alias(f"_v{i}") for i, c in enumerate(scalars.values())))
     told = [x for i in range(len(scalars)) for x in (F.min(F.when(F.col(f"_v{i}").isNotNull(), F.struct("_k", f"_v{i}"))).alias(f"_f{i}"), F.min(f"_v{i}").alias(f"_a{i}"), F.max(f"_v{i}").alias(f"_z{i}"))]
     best = base.groupBy("_g").agg(F.min("_r").alias("_r"), F.count("*").alias("n_members"), *told)
-    state = F.coalesce(F.array(*map(F.lit, precedence))[F.col("_r")], F.lit("closed"))
+    state = F.coalesce(F.get(F.array(*map(F.lit, precedence)), F.col("_r")), F.lit("closed"))
     values = [F.col(f"_f{i}._v{i}") for i in range(len(scalars))]
     differ = F.array_compact(F.array(*(F.when(F.col(f"_a{i}") < F.col(f"_z{i}"), F.lit(n)) for i, n in enumerate(scalars))))
     digest = F.sha2(F.concat_ws("|", state, *(F.coalesce(v.cast("string"), F.lit("<none>")) for v in values)), 256)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import has_prefixes, lexemes
+from skein.operators.facets import Filter
 
 #: A page holds this many rows unless asked otherwise, and never more than the second.
 PAGE, LARGEST_PAGE = 100, 500
@@ -21,7 +22,11 @@ class Fields:
     (inclusive); counts (a list of numbers of which the last of `top` means "or more"); all_of and any_of
     (on an array column); within (pairs of parallel arrays: a code of the list whose value is
     at most the number); rank (an ordered list of words, at least the one asked); words (a
-    search in text: every word's beginning); flag (true or false).
+    search in text: every word's beginning); flag (true or false); absent (a fact that must not be true; an unknown one passes); floors (of the floor and the
+    floors of its house: the words not_first, not_last, middle, or the least and most floor); groups (names that stand for several
+    values); places (pairs of a level and a reference, any of which holds; a level is a column or an array of codes); chosen (of several
+    columns the one that the first of three asked names, between the other two); guarded (another kind, that only rows pass which have
+    been read); on_show (after the moment asked: the end expected, or the last sighting where it is later or no end is); might (rows without a place whose wider area has the one asked).
     """
 
     def __init__(self, **kinds: tuple):
@@ -39,7 +44,7 @@ class Fields:
 
     def _one(self, kind: str, column: Any, *rest: Any) -> Column:
         *more, asked = rest
-        c = F.col(column) if isinstance(column, str) else column
+        c = F.col(column) if isinstance(column, str) else column if isinstance(column, Column) else None
         if kind == "equals" or kind == "flag":
             return c == F.lit(asked)
         if kind == "one_of":
@@ -62,9 +67,46 @@ class Fields:
             order = list(more[0])
             return F.array_position(F.array(*map(F.lit, order)), c) >= order.index(asked) + 1
         if kind == "words":
-            return has_prefixes(lexemes(c), [[w] for w in asked.lower().split()[:8]])
+            return has_prefixes(lexemes(c), [[w] for w in asked.lower().split()])
+        if kind == "absent":
+            return F.lit(not asked) | ~F.coalesce(c, F.lit(False))
+        if kind == "floors":
+            floors = F.col(more[0])
+            named = {"not_first": c > 1, "not_last": c < floors, "middle": (c > 1) & (c < floors)}
+            if isinstance(asked, str):
+                return named[asked]
+            return (F.lit(asked[0] is None) | (c >= F.lit(asked[0]))) & (F.lit(asked[1] is None) | (c <= F.lit(asked[1])))
+        if kind == "groups":
+            return c.isin([v for a in ([asked] if isinstance(asked, str) else asked) for v in more[0][a]])
+        if kind == "chosen":
+            choice, low, high = asked
+            value = F.col(column[choice])
+            return value.isNotNull() & (F.lit(low is None) | (value >= F.lit(low))) & (F.lit(high is None) | (value <= F.lit(high)))
+        if kind == "guarded":
+            return F.col(column).isNotNull() & self._one(*more[0], asked)
+        if kind == "on_show":
+            return F.greatest(F.coalesce(c, F.col(more[0])), F.col(more[0])) > F.lit(asked)
+        if kind == "places":
+            return self._places(column, asked)
+        if kind == "might":
+            return c.isNull() & F.coalesce(F.col(more[0]) == F.lit(asked), F.lit(False))
         raise ValueError(kind)
 
+    @staticmethod
+    def _places(levels: Mapping[str, tuple[str, bool]], asked: Sequence[tuple[str, Any]]) -> Column:
+        """Whether a row lies in any of the places; references of one level are tested together."""
+        out = F.lit(False)
+        for level, (name, several) in levels.items():
+            refs = [r for at, r in asked if at == level]
+            if refs:
+                hit = F.arrays_overlap(F.col(name), F.array(*map(F.lit, refs))) if several else F.col(name).isin(refs)
+                out = out | F.coalesce(hit, F.lit(False))
+        return out
+
+    def filters(self, filters: Mapping[str, Any]) -> list[Filter]:
+        """The filters as facets have them: each tells which rows it alone shuts out."""
+        return [Filter(name, F.lit(True), self.predicate({name: asked})) for name, asked in filters.items() if asked is not None and asked != []]
+
 
 def page(rows: DataFrame, where: Column, order: Sequence[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
     """A page in a total order; a limit outside 1 to LARGEST_PAGE is brought inside. The order must end in a unique key."""

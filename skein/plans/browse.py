@@ -41,6 +41,37 @@ def facet_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.left_out(_evaluated(spark, sf_dir), "source_slug")
 
 
+_BUCKETS = [("small", 0.0, 999.0), ("middle", 1000.0, 9999.0), ("large", 20000.0, 1e12)]
+_NOW = "2026-04-01"
+
+
+def facet_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches as if the deadline's filter were each of these: closing within days, any range of values, a bucket of values."""
+    now = F.lit(_NOW).cast("timestamp")
+    tests = {f"within_{d}": X.closing(F.col("deadline_at"), now, d) for d in (7, 30, 90)} | {"overlap": X.overlapping(F.when(F.col("row_id") % 3 == 0, F.col("value_amount")), F.when(F.col("row_id") % 2 == 0, F.col("value_amount") * 2), 1000.0, 5000.0)}
+    tests |= {name: X.bucket(F.col("value_amount"), _BUCKETS) == name for name, _, _ in _BUCKETS}
+    return X.presets(_evaluated(spark, sf_dir), "deadline", tests)
+
+
+def facet_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.ranked_options(_evaluated(spark, sf_dir), {"type": F.array("opp_type"), "status": F.array("status"), "board": F.array("source_slug")}, {"type": ["job", "prize"], "board": ["gone-board"]})
+
+
+def facet_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by type, where the filter on values only applies to tenders and that on deadlines not to events."""
+    applies = {"job": ["status", "place", "deadline"], "tender": ["status", "place", "deadline", "value"], "event": ["status", "place"], "grant": ["status", "value"]}
+    return X.kind_counts(table(spark, sf_dir, "index_rows"), "opp_type", _filters(), applies)
+
+
+def facet_suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.suggested(_evaluated(spark, sf_dir), "place", F.col("organization"), "opp_type", 15)
+
+
+def facet_never(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "index_rows").withColumn("month", F.date_format("first_seen_at", "yyyy-MM")).withColumn("board_day", F.concat_ws("/", "source_slug", F.to_date("first_seen_at")))
+    return X.never_stated(rows, _filters(), "board_day")
+
+
 def facet_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.log_histogram(table(spark, sf_dir, "orders"), "o_totalprice")
 
@@ -83,7 +114,7 @@ _LEAD = """with p as (select o_orderkey, o_totalprice, o_orderdate, o_orderprior
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 l as (select *, grp is null or row_number() over (partition by grp order by o_orderdate desc, o_orderkey) = 1 as leads from p)
 """
-QUERIES = {f.__name__: f for f in (facet_summary, facet_options, facet_drops, facet_left_out, facet_histogram, totals_by_area, totals_units, totals_most_common)}
+QUERIES = {f.__name__: f for f in (facet_summary, facet_options, facet_drops, facet_left_out, facet_histogram, facet_presets, facet_ranked, facet_kinds, facet_suggested, facet_never, totals_by_area, totals_units, totals_most_common)}
 SQL = {
     "facet_summary": _EV + "select count(*) filter (n_fail = 0) as matches, count(*) filter (n_fail = 0 and unstated) as unstated, count(*) filter (n_fail > 0 and n_fail = n_unknown) as lenient, count(*) as in_scope from e",
     "facet_options": _EV
@@ -97,6 +128,26 @@ SQL = {
     "facet_histogram": """with v as (select cast(o_totalprice as double) as v, row_number() over (order by o_totalprice) - 1 as r, count(*) over () as n from orders where o_totalprice > 0),
         b as (select min(v) filter (r >= floor((n - 1) * 0.02::double)) as lo, min(v) filter (r >= floor((n - 1) * 0.98::double)) as hi from v)
         select greatest(0, least(29, floor((ln(v) - ln(lo)) / (ln(hi) - ln(lo)) * 30)))::int as bin, count(*) as n from v, b group by 1""",
+    "facet_presets": _EV
+    + """, b as (select *, coalesce(case when row_id % 3 = 0 then value_amount end, case when row_id % 2 = 0 then value_amount * 2 end) as lo, coalesce(case when row_id % 2 = 0 then value_amount * 2 end, case when row_id % 3 = 0 then value_amount end) as hi
+           from e where n_fail = 0 or (n_fail = 1 and fail_key = 'deadline')),
+         c as (select count(*) filter (deadline_at between timestamptz '2026-04-01 00:00:00+00' and timestamptz '2026-04-08 00:00:00+00') as within_7, count(*) filter (deadline_at between timestamptz '2026-04-01 00:00:00+00' and timestamptz '2026-05-01 00:00:00+00') as within_30,
+           count(*) filter (deadline_at between timestamptz '2026-04-01 00:00:00+00' and timestamptz '2026-06-30 00:00:00+00') as within_90, count(*) filter (hi >= 1000 and lo <= 5000) as overlap, count(*) filter (value_amount between 0 and 999) as small, count(*) filter (value_amount between 1000 and 9999) as middle, count(*) filter (value_amount between 20000 and 1e12) as large from b)
+         unpivot c on columns(*) into name preset value n""",
+    "facet_ranked": _EV
+    + """, o as (select 'type' as facet, opp_type as option, n_fail, fail_key from e union all select 'status', status, n_fail, fail_key from e union all select 'board', source_slug, n_fail, fail_key from e),
+         told as (select facet, option, count(*) filter (n_fail = 0 or (n_fail = 1 and fail_key = facet)) as n, count(*) as in_scope from o where option is not null group by 1, 2),
+         a as (select * from told union all select facet, option, 0, 0 from (values ('type', 'job'), ('type', 'prize'), ('board', 'gone-board')) v(facet, option) where (facet, option) not in (select (facet, option) from told))
+         select *, row_number() over (partition by facet order by in_scope desc, option) as place from a""",
+    "facet_kinds": _EV
+    + """select opp_type, count(*) filter (case opp_type when 'job' then not x2 and not x3 and not x4 when 'tender' then not x2 and not x3 and not x4 and not x5 when 'event' then not x2 and not x3 else not x2 and not x5 end) as n
+         from e where opp_type in ('job', 'tender', 'event', 'grant') group by 1""",
+    "facet_suggested": _EV
+    + """, b as (select organization as value, opp_type, count(*) as c from e where organization is not null and (n_fail = 0 or (n_fail = 1 and fail_key = 'place')) group by 1, 2)
+         select value, cast(sum(c) as bigint) as n, arg_min(opp_type, (-c, opp_type)) as top_kind from b group by 1 order by 2 desc, 1 limit 15""",
+    "facet_never": _EV
+    + """, t as (select source_slug || '/' || strftime(cast(first_seen_at as date), '%Y-%m-%d') as board_day, count(*) filter (k3) as place, count(*) filter (k4) as deadline, count(*) filter (k5) as value from e group by 1)
+         select fail_key, board_day from (unpivot t on place, deadline, value into name fail_key value n) where n = 0""",
     "totals_by_area": _LEAD
     + """, c as (select region, nation, o_orderpriority, band, grouping(region) as gr, grouping(nation) as gn, grouping(band) as gb, count(*) filter (leads) as listings, count(*) as posts,
            quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) filter (leads) as q
