@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -102,6 +103,14 @@ def has_prefixes(found: Column, query: list[list[str]]) -> Column:
     return out
 
 
+def searched(c: Column, query: list[list[str]]) -> Column:
+    """`has_prefixes` of a text's lexemes. What cannot hold a word of every group is ruled out by one pattern a group, so that only the rest is split into words."""
+    low, out = F.lower(c), F.lit(True)
+    for spellings in query:
+        out = out & low.rlike("(?:^|[^0-9a-zა-ჿ]|[0-9]{7})(?:" + "|".join(re.escape(s) for s in spellings) + ")")
+    return out & has_prefixes(lexemes(c), query)
+
+
 def _starts(spellings: list[str]):
     def test(w: Column) -> Column:
         out = F.lit(False)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import cut
+
+#: Queries that are met with all rows at a time.
+QUERY_BLOCK = 2_000
+
 
 def quantised(vector: Column) -> Column:
     """(scale, codes): a vector in 8-bit steps of its largest part / 127; all zeros have scale 0."""
@@ -25,20 +32,60 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
-def similar(queries: DataFrame, rows: DataFrame, query: str, key: str, vector: str, floor: float, most: int) -> DataFrame:
+def similar(queries: DataFrame, rows: DataFrame, query: str, key: str, vector: str, floor: float, most: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(`query`, `key`, score, rank): the `most` rows nearest each query by cosine that reach `floor` of its best.
 
-    Queries are a stated set, met with all rows in blocks (or sent whole where Catalyst knows
-    them to be small: there is no hint), and each task keeps its best `most` rows a query before
-    anything is exchanged. A query does not find its own key. Ties go to the smaller key.
+    Queries are a stated set. They are numbered along their order and met with all rows in blocks of `block`: a
+    block goes to every task, which multiplies its rows with it, batch by batch, and keeps the best `most` rows a query;
+    only these are exchanged. A query does not find its own key. Ties go to the smaller key. Null vectors and keys are left
+    out; vectors of zeros have score 0. No queries or no rows give none.
     """
-    asked = queries.select(F.col(query).alias("_q"), unit(F.col(vector)).alias("_qv"))
-    scored = rows.select(F.col(key).alias("_k"), unit(F.col(vector)).alias("_v")).join(asked, F.col("_k") != F.col("_q")).select("_q", "_k", F.round(dot(F.col("_qv"), F.col("_v")), 9).alias("score"))
-    order = [F.desc("score"), F.col("_k")]
-    part = scored.withColumn("_p", F.spark_partition_id())
-    local = part.withColumn("_r", F.row_number().over(Window.partitionBy("_q", "_p").orderBy(*order))).where(F.col("_r") <= most).drop("_r", "_p")
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy(*order))).withColumn("_best", F.max("score").over(Window.partitionBy("_q")))
-    return ranked.where((F.col("rank") <= most) & (F.col("score") >= floor * F.col("_best"))).select(F.col("_q").alias(query), F.col("_k").alias(key), "score", "rank")
+    spark = rows.sparkSession
+    told = cut(queries.where(F.col(query).isNotNull() & F.col(vector).isNotNull()).select(F.col(query).alias("_q"), F.col(vector).cast("array<double>").alias("_v")))
+    blocks = max(1, -(-told.count() // block))
+    qkind, kind = told.schema["_q"].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+    slim = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
+    best = spark.createDataFrame([], f"_q {qkind}, _k {kind}, score double")
+    for i in range(blocks):
+        part = told.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i).toPandas()
+        if len(part):
+            shared = spark.sparkContext.broadcast((part["_q"].to_numpy(), _units(part["_v"])))
+            best = best.unionByName(slim.mapInPandas(_top(shared, most), f"_q {qkind}, _k {kind}, score double"))
+    order = Window.partitionBy("_q").orderBy(F.desc("score"), "_k")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("_best", F.max("score").over(Window.partitionBy("_q")))
+    return ranked.where(F.col("score") >= floor * F.col("_best")).select(F.col("_q").alias(query), F.col("_k").alias(key), "score", "rank")
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def _top(shared, most: int):
+    """The best `most` rows of a task for each query of a block; a batch's rows are only sorted where they reach the worst kept so far."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, matrix = shared.value
+        kept: list[list[tuple]] = [[] for _ in asked]
+        worst = np.full(len(asked), -np.inf)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf["_k"].to_numpy()
+            scores = np.round(_units(pdf["_v"]) @ matrix.T, 9) + 0.0
+            scores[keys[:, None] == asked[None, :]] = -np.inf
+            enough = np.maximum(worst, np.partition(scores, len(keys) - most, axis=0)[len(keys) - most] if len(keys) > most else -np.inf)
+            for r, q in np.argwhere((scores >= enough) & (scores > -np.inf)).tolist():
+                kept[q].append((-scores[r, q], keys[r]))
+            for q, found in enumerate(kept):
+                if len(found) > most:
+                    kept[q] = sorted(found)[:most]
+                    worst[q] = -kept[q][-1][0]
+        out = [(asked[q], k, -s) for q, found in enumerate(kept) for s, k in found]
+        yield pd.DataFrame(out, columns=["_q", "_k", "score"])
+
+    return run
 
 
 def fused(lists: Sequence[tuple[DataFrame, float]], query: str, key: str, damping: int = 60) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import has_prefixes, lexemes
+from skein.functions.text import searched
 from skein.operators.facets import Filter
 
 #: A page holds this many rows unless asked otherwise, and never more than the second.
@@ -67,7 +67,7 @@ class Fields:
             order = list(more[0])
             return F.array_position(F.array(*map(F.lit, order)), c) >= order.index(asked) + 1
         if kind == "words":
-            return has_prefixes(lexemes(c), [[w] for w in asked.lower().split()])
+            return searched(c, [[w] for w in asked.lower().split()])
         if kind == "absent":
             return F.lit(not asked) | ~F.coalesce(c, F.lit(False))
         if kind == "floors":

@@ -27,12 +27,14 @@ def local_session(cores: int | str = 8, name: str = "skein", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set."""
+    """The cluster's shared checkpoint folder; one of our own only where none is set and all runs on this machine. Elsewhere it must be set: every executor has disks of its own."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get(CHECKPOINT_DIR, None) or sc.getConf().get(CHECKPOINT_DIR)
+    if not named and not (sc.master or "").startswith("local["):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return sc.getCheckpointDir()
 
