@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.quantiles import medians
+
 METRES = 111_195.0
 # Metres that are walked in five minute steps.
 BANDS = [(325, 5), (625, 10), (1000, 15), (1325, 20)]
@@ -54,5 +56,6 @@ def inside(lat: Column, lng: Column, ring: Sequence[tuple[float, float]]) -> Col
 
 
 def median_place(rows: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
-    """(`key`, lat, lng, n_places): the median over the distinct places of a key."""
-    return rows.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(key, lat, lng).distinct().groupBy(key).agg(F.percentile(lat, F.lit(0.5)).alias(lat), F.percentile(lng, F.lit(0.5)).alias(lng), F.count("*").alias("n_places"))
+    """(`key`, lat, lng, n_places): the median over the distinct places of a key; rows without a key or place are ignored."""
+    places = rows.where(F.col(lat).isNotNull() & F.col(lng).isNotNull() & F.col(key).isNotNull()).select(key, lat, lng).distinct()
+    return medians(places, [key], [lat, lng]).join(places.groupBy(key).agg(F.count("*").alias("n_places")), key)

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def block_pairs(rows: DataFrame, key: str, block: str, keep: Sequence[str], least: int, most: int) -> DataFrame:
-    """Pairs (smaller key first) of rows with an equal block, for blocks of `least` to `most` rows.
+def block_pairs(rows: DataFrame, key: str, block: str, keep: Sequence[str], least: int = 2, most: int | None = None) -> DataFrame:
+    """Pairs (smaller key first) of rows with an equal block, for blocks of at least `least` and, if given, at most `most` rows.
 
-    A larger block identifies nothing and is left out before the join, so no block emits
-    more than most * most / 2 pairs; null blocks pair with nothing. Columns come as l_ and r_.
+    With `most` a larger block identifies nothing and is left out before the join; without it no pair is lost, and blocks must be small by
+    nature: for large ones `matching.similar_pairs` meets rows by rare members instead. Null blocks pair with nothing. Columns come as l_ and r_.
     """
     known = rows.where(F.col(block).isNotNull())
-    sizes = known.groupBy(block).agg(F.count("*").alias("_n")).where(F.col("_n").between(least, most)).select(block)
+    fits = F.col("_n") >= least if most is None else F.col("_n").between(least, most)
+    sizes = known.groupBy(block).agg(F.count("*").alias("_n")).where(fits).select(block)
     fit = known.join(sizes, block, "left_semi").select(block, key, *keep)
     side = lambda p: fit.select(F.col(block).alias(f"{p}b"), *(F.col(c).alias(f"{p}_{c}") for c in (key, *keep)))
     return side("l").join(side("r"), (F.col("lb") == F.col("rb")) & (F.col(f"l_{key}") < F.col(f"r_{key}"))).drop("lb", "rb")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.geo import metres
+from skein.operators.quantiles import medians
 
 
 def version_step(open_versions: DataFrame, live: DataFrame, key: str, content: Sequence[str], now: Column) -> tuple[DataFrame, DataFrame]:
@@ -65,9 +66,10 @@ def trusted_pins(rows: DataFrame, key: str, lat: str, lng: str, city: str, stree
     base = rows.select(F.col(key).alias("k"), F.col(lat).cast("double").alias("a"), F.col(lng).cast("double").alias("o"), F.col(city).alias("c"), F.col(street).alias("s"))
     spots = base.where("a is not null and o is not null")
     crowded = spots.groupBy("c", "a", "o").agg((F.count_distinct("s") <= most_streets).alias("alone"))
-    middle = spots.select("c", "a", "o").distinct().groupBy("c").agg(F.percentile("a", F.lit(0.5)).alias("ca"), F.percentile("o", F.lit(0.5)).alias("co"))
+    middle = medians(spots.where("c is not null").select("c", F.col("a").alias("ca"), F.col("o").alias("co")).distinct(), ["c"], ["ca", "co"])
     judged = spots.join(crowded, ["c", "a", "o"]).join(middle, "c").withColumn("cand", F.col("alone") & (metres(F.col("ca"), F.col("co"), F.col("a"), F.col("o"), mean=False) <= reach))
-    streets = judged.where("cand and s is not null").select("c", "s", "a", "o").distinct().groupBy("c", "s").agg(F.percentile("a", F.lit(0.5)).alias("sa"), F.percentile("o", F.lit(0.5)).alias("so"), F.count("*").alias("n"))
+    pins = judged.where("cand and s is not null").select("c", "s", F.col("a").alias("sa"), F.col("o").alias("so")).distinct()
+    streets = medians(pins, ["c", "s"], ["sa", "so"]).join(pins.groupBy("c", "s").agg(F.count("*").alias("n")), ["c", "s"])
     trusted = F.coalesce(F.col("cand") & (F.col("n") >= 2) & (metres(F.col("sa"), F.col("so"), F.col("a"), F.col("o")) <= near), F.lit(False))
     done = judged.join(streets, ["c", "s"], "left").select("k", F.col("cand").alias("is_candidate"), trusted.alias("is_trusted"))
     return base.select("k").join(done, "k", "left").select(F.col("k").alias(key), F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"), F.coalesce("is_trusted", F.lit(False)).alias("is_trusted"))

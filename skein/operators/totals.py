@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.quantiles import quantiles
+from skein.session import cut
+
 
 def with_leaders(rows: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
     """`rows` with leads: the first of its group in `order`; a row without a group leads itself.
@@ -22,13 +25,22 @@ def area_totals(rows: DataFrame, areas: Sequence[str], kind: str, band: str, pri
 
     `rows` has leads. A cell of fewer than `least` leaders is not given; a row without a
     band is in the all-bands cells only, one without an area in no cell of that level. Both
-    levels of detail come from one grouping-sets aggregation; the quartiles interpolate.
+    levels of detail come from one grouping-sets aggregation to counts by price; the quartiles
+    interpolate and are found from these counts, so no cell is ever in one task.
     """
     sets = [s for area in [None, *areas] for s in ([c for c in (area, kind) if c], [c for c in (area, kind, band) if c])]
     view = rows.select(*areas, kind, band, F.col(price).alias("_price"), "leads")
-    cells = view.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in (*areas, kind, band))).agg(
-        *(F.grouping(c).alias(f"_g_{c}") for c in (*areas, band)), F.count_if("leads").alias("listings"), F.count("*").alias("posts"), F.percentile(F.when(F.col("leads"), F.col("_price")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
+    flags = [f"_g_{c}" for c in (*areas, band)]
+    cell = [*areas, kind, band, *flags]
+    counts = cut(
+        view.groupingSets([[F.col(c) for c in (*s, "_price")] for s in sets], *(F.col(c) for c in (*areas, kind, band, "_price"))).agg(*(F.grouping(c).alias(f"_g_{c}") for c in (*areas, band)), F.count_if("leads").alias("_l"), F.count("*").alias("_n"))
     )
+    sizes = counts.groupBy(*cell).agg(F.sum("_l").alias("listings"), F.sum("_n").alias("posts"))
+    found = quantiles(counts, cell, "_price", "_l", [0.25, 0.5, 0.75])
+    on = F.lit(True)
+    for c in cell:
+        on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}"))
+    cells = sizes.alias("s").join(found.alias("f"), on, "left").select("s.*", F.col("f.q").alias("_q"))
     level = F.coalesce(*(F.when(F.col(f"_g_{a}") == 0, F.lit(a)) for a in areas), F.lit("all"))
     area = F.coalesce(*(F.when(F.col(f"_g_{a}") == 0, F.col(a).cast("string")) for a in areas))
     no_area = F.lit(False)
@@ -37,7 +49,7 @@ def area_totals(rows: DataFrame, areas: Sequence[str], kind: str, band: str, pri
     kept = cells.where((F.col("listings") >= least) & ((F.col(f"_g_{band}") == 1) | F.col(band).isNotNull()) & ~no_area)
     return kept.select(
         level.alias("area_level"), F.coalesce(area, F.lit("")).alias("area"), kind, F.when(F.col(f"_g_{band}") == 1, F.lit("all")).otherwise(F.col(band).cast("string")).alias("band"), "listings", "posts",
-        *(F.round(F.col("_q")[i], 4).alias(n) for i, n in enumerate(("price_p25", "price_median", "price_p75"))),
+        *(F.round(F.get("_q", F.lit(i)), 4).alias(n) for i, n in enumerate(("price_p25", "price_median", "price_p75"))),
     )
 
 
