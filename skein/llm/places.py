@@ -146,10 +146,9 @@ class Places:
         """All (distance, reference) within the distance allowed, nearest first."""
         meant = readings(text)
         best = {ref: 0 for r in meant for ref in self.exact.get(r, ())}
-        if not best:
-            for r in meant:
-                for ref, d in self.tries[script(r)].near(r, limit(len(r))).items():
-                    best[ref] = min(d, best.get(ref, d))
+        for r in meant:
+            for ref, d in self.tries[script(r)].near(r, limit(len(r))).items():
+                best[ref] = min(d, best.get(ref, d))
         return sorted((d, ref) for ref, d in best.items())
 
     def find(self, text: str | None) -> int:
@@ -159,7 +158,8 @@ class Places:
         if text not in self.memo:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            hits = self.all_near(text)
+            exact = {ref for r in readings(text) for ref in self.exact.get(r, ())}
+            hits = [(0, ref) for ref in exact] or self.all_near(text)
             self.memo[text] = hits[0][1] if hits and (len(hits) == 1 or hits[0][0] < hits[1][0]) else -1
         return self.memo[text]
 
