@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -35,32 +36,37 @@ def leader_clusters(rows: DataFrame, key: str, block: Sequence[str], order: Sequ
 
     `near` gives for a column ("absolute" or "relative", most): its distance to the leader's
     value. A null is near nothing. Within a block rows are taken by `order`, ties by key. A
-    block's state is its leaders, so a block is streamed batch by batch, never held as one.
+    block is streamed batch by batch, never held as one; where the first of `order` has a distance, leaders that
+    lie further back than it reaches are dropped, as no later row can join them, so the state is what lies within reach.
     """
     cols = list(near)
     kind = rows.schema[key].dataType.simpleString()
+    tests = [(i, how == "absolute", most) for i, (how, most) in enumerate(near.values())]
+    front = cols.index(order[0]) if order and order[0] in cols else None
+    reach = lambda i, theirs: tests[i][2] if tests[i][1] else tests[i][2] * abs(theirs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaders = None, []
+        at, leaders = None, deque()
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row[0] != at:
-                    at, leaders = row[0], []
-                own = row[2:]
-                found = None
-                for who, theirs in leaders:
-                    if all(x is not None and y is not None and x == x and y == y and abs(x - y) <= (most if how == "absolute" else most * abs(y)) for x, y, (how, most) in zip(own, theirs, near.values(), strict=True)):
-                        found = who
-                        break
-                if found is None:
-                    found = row[1]
-                    leaders.append((found, own))
-                out.append((row[1], found))
-            yield pd.DataFrame(out, columns=["k", "leader"])
+            out, keys = [], pdf["k"].tolist()
+            for block, who, own in zip(pdf["_b"].tolist(), keys, zip(*(pdf[c].tolist() for c in cols), strict=True), strict=True):
+                if block != at:
+                    at, leaders = block, deque()
+                found = who
+                if all(x == x for x in own):
+                    while front is not None and leaders and own[front] - leaders[0][1][front] > reach(front, leaders[0][1][front]):
+                        leaders.popleft()
+                    for leader, theirs in leaders:
+                        if all(abs(own[i] - theirs[i]) <= (most if absolute else most * abs(theirs[i])) for i, absolute, most in tests):
+                            found = leader
+                            break
+                    else:
+                        leaders.append((who, own))
+                out.append(found)
+            yield pd.DataFrame({"k": pdf["k"], "leader": pd.Series(out, dtype=pdf["k"].dtype)})
 
     blocked = rows.withColumn("_b", F.xxhash64(*block)).repartition("_b").sortWithinPartitions("_b", *(F.col(c).asc_nulls_last() for c in order), key)
-    return blocked.select("_b", key, *(F.col(c).cast("double").alias(c) for c in cols)).mapInPandas(run, f"k {kind}, leader {kind}").withColumnRenamed("k", key)
+    return blocked.select("_b", F.col(key).alias("k"), *(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in cols)).mapInPandas(run, f"k {kind}, leader {kind}").withColumnRenamed("k", key)
 
 
 def carried_keys(groups: DataFrame, member: str, new: str, old: str) -> DataFrame:

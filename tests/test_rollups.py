@@ -40,3 +40,24 @@ def test_texts(spark):
     assert [tuple(r) for r in words.select(text, share).collect()] == [("x b", 0.5), ("", 0.0), (None, 0.0)]
     facts = spark.createDataFrame([('{"a": 1, "b": {"c": "d"}}',), ("broken",), (None,)], "j string")
     assert [r[0] for r in facts.select(R.json_facts(F.col("j"), {"a": "$.a", "c": "$.b.c", "no": "$.no"})).collect()] == ['{"a":"1","c":"d"}', "{}", "{}"]
+
+
+def test_leaders_against_brute_force(spark):
+    import random
+
+    from skein.operators.resolution import leader_clusters
+
+    rng = random.Random(9)
+    data = [(i, rng.choice(["a", "a", "b"]), rng.choice([None, float(rng.randrange(-30, 60))]), float(rng.randrange(5))) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, b string, v double, w double").repartition(3)
+    for how, most in (("absolute", 4.0), ("relative", 0.2)):
+        want = {}
+        for block in "ab":
+            leaders = []
+            for i, _, v, w in sorted((x for x in data if x[1] == block), key=lambda x: (x[2] is None, x[2] or 0, x[0])):
+                hit = next((k for k, lv, lw in leaders if v is not None and abs(v - lv) <= (most if how == "absolute" else most * abs(lv)) and abs(w - lw) <= 1), None)
+                want[i] = i if hit is None else hit
+                if hit is None and v is not None:
+                    leaders.append((i, v, w))
+        got = {r["id"]: r["leader"] for r in leader_clusters(df, "id", ["b"], ["v"], {"w": ("absolute", 1.0), "v": (how, most)}).collect()}
+        assert got == want
