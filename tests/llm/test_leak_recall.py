@@ -59,8 +59,8 @@ def test_blocks_of_items_change_nothing(spark):
     docs = [(d, " ".join(speech(rng, 60) + items[d % 40][1].split()[: rng.randrange(1, 90)] + speech(rng, 60))) for d in range(200)] + [(900, None), (901, "")]
     df, it = frames(spark, docs, items)
     key = lambda n: sorted((r["doc_id"], r["item_id"], r["run_share"], r["lcs_share"]) for r in leaks(df, "doc_id", "text", it, "item_id", "text", block_letters=n).collect())
-    assert key(1_000_000) == key(5_000) == key(300)
-    assert [(d, i) for d, i, r, _ in key(300) if r >= 0.5] == brute([d for d in docs if d[1]], items)
+    assert key(1_000_000) == key(3_000) == key(1_500)
+    assert [(d, i) for d, i, r, _ in key(3_000) if r >= 0.5] == brute([d for d in docs if d[1]], items)
 
 
 def test_reworded_copies_are_near(spark):
