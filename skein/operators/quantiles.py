@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from skein.session import cut
 
 
-def quantiles(counts: DataFrame, by: Sequence[str], value: str, weight: str, probabilities: Sequence[float]) -> DataFrame:
+def quantiles(counts: DataFrame, by: Sequence[str], value: str, weight: str, probabilities: Sequence[float], unique: bool = False) -> DataFrame:
     """(`by`, n, q): the interpolated quantiles of `value`, each counted `weight` times, as an array of doubles; groups may be null.
 
     Values are range-partitioned by group and value; each range sums its weights up and the ranges' totals, few
-    rows, are summed up over the ranges, so that no task holds a group. Null values and weights below one are left out; a group without values has no row.
+    rows, are summed up over the ranges, so that no task holds a group. `unique` says that a value comes once a group, so that the counts need not be summed first. Null values and weights below one are left out; a group without values has no row.
     """
     rows = counts.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*by, F.col(value).cast("double").alias("_v"), F.col(weight).cast("long").alias("_c"))
-    ordered = cut(rows.groupBy(*by, "_v").agg(F.sum("_c").alias("_c")).repartitionByRange(*by, "_v").sortWithinPartitions(*by, "_v")).withColumn("_p", F.spark_partition_id())
+    summed = rows if unique else rows.groupBy(*by, "_v").agg(F.sum("_c").alias("_c"))
+    ordered = cut(summed.repartitionByRange(*by, "_v").sortWithinPartitions(*by, "_v")).withColumn("_p", F.spark_partition_id())
     ranges = ordered.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
     cell = Window.partitionBy(*by)
     starts = ranges.select(*by, "_p", (F.sum("_s").over(cell.orderBy("_p")) - F.col("_s")).alias("_b"), F.sum("_s").over(cell).alias("n"))
@@ -26,8 +27,8 @@ def quantiles(counts: DataFrame, by: Sequence[str], value: str, weight: str, pro
     for c in same:
         on = on & c
     inside = Window.partitionBy("_p", *by).orderBy("_v")
-    summed = ordered.withColumn("_t", F.sum("_c").over(inside))
-    placed = summed.alias("o").join(starts.alias("s"), on).select(*(F.col(f"o.{c}").alias(c) for c in by), "o._v", "s.n", (F.col("s._b") + F.col("o._t")).alias("_to"))
+    running = ordered.withColumn("_t", F.sum("_c").over(inside))
+    placed = running.alias("o").join(starts.alias("s"), on).select(*(F.col(f"o.{c}").alias(c) for c in by), "o._v", "s.n", (F.col("s._b") + F.col("o._t")).alias("_to"))
     at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     first = lambda i: F.min(F.when(F.col("_to") > i, F.col("_v")))
     found = placed.groupBy(*by, "n").agg(*(x for i, p in enumerate(probabilities) for x in (first(F.floor(at(p))).alias(f"_l{i}"), first(F.ceil(at(p))).alias(f"_h{i}"))))

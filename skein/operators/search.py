@@ -148,7 +148,7 @@ def shares(rows: DataFrame, key: str, value: str) -> DataFrame:
 def kinds_and_bands(rows: DataFrame, by: str, value: str, low: float = 0.02, high: float = 0.98, bins: int = 36, least: int = 5) -> DataFrame:
     """(`by`, bin, n): a histogram of the logarithm between interpolated quantiles, for each value of `by` with `least` rows."""
     good = rows.where(F.col(value) > 0).select(by, F.col(value).cast("double").alias("v"))
-    bounds = quantiles(good.groupBy(by, "v").agg(F.count("*").alias("c")), [by], "v", "c", [low, high]).where(F.col("n") >= least).select(by, F.col("q").alias("_q"))
+    bounds = quantiles(good.groupBy(by, "v").agg(F.count("*").alias("c")), [by], "v", "c", [low, high], unique=True).where(F.col("n") >= least).select(by, F.col("q").alias("_q"))
     placed = good.join(bounds, by).where(F.col("_q")[0] < F.col("_q")[1])
     b = F.floor((F.ln("v") - F.ln(F.col("_q")[0])) / (F.ln(F.col("_q")[1]) - F.ln(F.col("_q")[0])) * bins)
     return placed.groupBy(by, F.greatest(F.lit(0), F.least(F.lit(bins - 1), b)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -36,7 +36,7 @@ def area_totals(rows: DataFrame, areas: Sequence[str], kind: str, band: str, pri
         view.groupingSets([[F.col(c) for c in (*s, "_price")] for s in sets], *(F.col(c) for c in (*areas, kind, band, "_price"))).agg(*(F.grouping(c).alias(f"_g_{c}") for c in (*areas, band)), F.count_if("leads").alias("_l"), F.count("*").alias("_n"))
     )
     sizes = counts.groupBy(*cell).agg(F.sum("_l").alias("listings"), F.sum("_n").alias("posts"))
-    found = quantiles(counts, cell, "_price", "_l", [0.25, 0.5, 0.75])
+    found = quantiles(counts, cell, "_price", "_l", [0.25, 0.5, 0.75], unique=True)
     on = F.lit(True)
     for c in cell:
         on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}"))
