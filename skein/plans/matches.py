@@ -91,9 +91,9 @@ def match_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standing confirmations whose titles disagree by now."""
     rows = _listings(spark, sf_dir)
     sure = match_standing(spark, sf_dir).where("decision = 'confirmed_same'")
-    side = lambda p: rows.select(F.col("source_listing_id").alias(p), F.col("t").alias(f"t_{p}"), F.col("g").alias(f"g_{p}"))
+    side = lambda p: rows.select(F.col("source_listing_id").alias(p), F.col("t").alias(f"t_{p}")).hint("merge")
     both = sure.join(side("left"), "left").join(side("right"), "right").where("t_left is not null and t_right is not null")
-    return both.select("left", "right", F.round(X.jaccard(F.col("g_left"), F.col("g_right")), 6).alias("similarity")).where(F.col("similarity") < M.WEAK)
+    return both.select("left", "right", F.round(X.jaccard(X.trigrams(F.col("t_left")), X.trigrams(F.col("t_right"))), 6).alias("similarity")).where(F.col("similarity") < M.WEAK)
 
 
 def match_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:

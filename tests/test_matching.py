@@ -14,6 +14,7 @@ from skein.functions import text as X
 from skein.operators import facets
 from skein.operators import matching as M
 from skein.operators.lookup import lookup
+from skein.plans import matches
 
 
 def rows(df):
@@ -53,6 +54,11 @@ def test_similar_pairs_against_brute_force(spark, share):
     assert M.similar_pairs(df.limit(0), "k", "b", "g", share).count() == 0
 
 
+@pytest.mark.parametrize("name", ["match_recheck"])
+def test_match_queries_broadcast_no_rows(spark, name):
+    assert "Broadcast" not in matches.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_job_decision(spark):
     facts = [(True, 1.0, True, 1, True, True), (False, 0.4, True, 2, True, True), (False, 0.4, True, 3, True, True), (False, 0.9, True, 2, False, False), (False, 0.5, True, 1, None, None), (False, 0.9, True, 40, True, True), (False, 0.9, None, None, True, None), (False, 0.9, False, None, None, True), (False, 0.6, False, None, True, True)]
     df = spark.createDataFrame(facts, "s boolean, t double, v boolean, n long, o boolean, d boolean")
