@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import containment, jaccard
+from skein.session import cut
 
 #: Listings that a value may be carried by and still be one vacancy's; similarities of titles that agree and that disagree; days of a bounded window.
 VACANCY_LEVEL, STRONG, WEAK, WINDOW_DAYS = 2, 0.82, 0.45, 21
@@ -21,17 +22,30 @@ def similar_pairs(rows: DataFrame, key: str, block: str, grams: str, share: floa
     Prefix filter: with the members of each set in one order, rarest first, two such sets
     share one of their first n - ceil(share * n) + 1. Rows meet by block and rare member, never as a
     whole block, so an employer of any size loses no pair and needs no cap. Null blocks and empty sets pair with nothing.
+    Catalyst takes sets for far smaller than they are, so all joins are told to sort and merge: none is sent to the driver.
     """
-    base = rows.where(F.col(block).isNotNull() & (F.size(grams) > 0)).select(F.col(key).alias("_k"), F.col(block).alias("_b"), F.array_distinct(grams).alias("_g"))
-    long = base.select("_k", "_b", F.explode("_g").alias("_t"))
-    often = long.groupBy("_t").agg(F.count("*").alias("_n"))
-    ranked = long.join(often, "_t").groupBy("_k", "_b").agg(F.sort_array(F.collect_list(F.struct("_n", "_t"))).alias("_s"))
+    base = rows.where(F.col(block).isNotNull()).select(F.col(key).alias("_k"), F.col(block).alias("_b"), F.explode(F.array_distinct(grams)).alias("_t"))
+    often = cut(base.groupBy("_t").agg(F.count("*").alias("_n")).withColumn("_i", F.monotonically_increasing_id()))
+    ranked = base.join(often.hint("merge"), base["_t"].eqNullSafe(often["_t"])).groupBy("_k", "_b").agg(F.sort_array(F.collect_list(F.struct("_n", "_i")))["_i"].alias("_s"))
     n = F.size("_s")
-    first = ranked.select("_k", "_b", n.alias("_z"), F.explode(F.slice("_s", 1, n - F.ceil(n * F.lit(share) - 1e-9).cast("int") + 1)).alias("_x")).select("_k", "_b", "_z", "_x._t")
-    met = first.alias("l").join(first.alias("r"), F.expr(f"l._b = r._b and l._t = r._t and l._k < r._k and least(l._z, r._z) >= {share} * greatest(l._z, r._z) - 1e-9"))
+    first = ranked.select("_k", "_b", n.alias("_z"), F.posexplode(F.slice("_s", 1, n - F.ceil(n * F.lit(share) - 1e-9).cast("int") + 1)).alias("_p", "_i"))
+    reach = f"least(l._z - l._p, r._z - r._p) >= {share} / (1 + {share}) * (l._z + r._z) - 1e-9"
+    met = first.alias("l").join(first.alias("r").hint("merge"), F.expr(f"l._b = r._b and l._i = r._i and l._k < r._k and least(l._z, r._z) >= {share} * greatest(l._z, r._z) - 1e-9 and {reach}"))
     ids = met.select(F.col("l._k").alias("l"), F.col("r._k").alias("r")).distinct()
-    side = lambda p: base.select(F.col("_k").alias(p), F.col("_g").alias(f"_g{p}"))
-    return ids.join(side("l"), "l").join(side("r"), "r").select("l", "r", jaccard(F.col("_gl"), F.col("_gr")).alias("similarity")).where(F.col("similarity") >= share)
+    side = lambda p: ranked.select(F.col("_k").alias(p), F.col("_s").alias(f"_g{p}")).hint("merge")
+    similarity = F.transform(F.array(F.size(F.array_intersect("_gl", "_gr"))), lambda x: x / (F.size("_gl") + F.size("_gr") - x))[0]
+    return ids.join(side("l"), "l").join(side("r"), "r").select("l", "r", similarity.alias("similarity")).where(F.col("similarity") >= share)
+
+
+def of_members(pairs: DataFrame, members: DataFrame, group: str, key: str) -> DataFrame:
+    """(l, r, similarity): `pairs` (l, r, similarity) of groups as pairs of structs `l` and `r` of their `members`, the smaller `key` left.
+
+    `group` names a member's group. A group paired with itself gives each pair of its members once.
+    """
+    side = lambda p: members.select(F.col(group).alias(f"_{p}"), F.struct(*(c for c in members.columns if c != group)).alias(f"_m{p}")).hint("merge")
+    met = pairs.join(side("l"), F.col("l") == F.col("_l")).join(side("r"), F.col("r") == F.col("_r")).where(F.expr(f"_l <> _r or _ml.{key} < _mr.{key}"))
+    first = F.expr(f"_ml.{key} < _mr.{key}")
+    return met.select(F.when(first, F.col("_ml")).otherwise(F.col("_mr")).alias("l"), F.when(first, F.col("_mr")).otherwise(F.col("_ml")).alias("r"), "similarity")
 
 
 def job_decision(same_source: Column, similarity: Column, shared: Column, carried_by: Column, same_organization: Column, dates_near: Column) -> Column:

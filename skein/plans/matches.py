@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import names as N
 from skein.functions import text as X
 from skein.operators import matching as M
+from skein.session import cut
 from skein.sources.tables import table
 
 _STATUSES = ["active", "missing_suspected", "discovered", "expired", "closed", "quarantined"]
@@ -20,10 +21,18 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("*", X.title_key(F.col("title")).alias("t"), X.organization_key(F.col("organization")).alias("o"), X.url_key(value).alias("v")).withColumn("g", X.trigrams(F.col("t")))
 
 
+def _alike(rows: DataFrame, share: float) -> DataFrame:
+    """(l, r, similarity): structs of all pairs of rows of one organisation with trigram similarity from `share`; each title of an organisation is compared once."""
+    own = rows.where("source_listing_id is not null and t is not null and o is not null").drop("g")
+    titles = cut(own.groupBy("o", "t").agg(F.min("source_listing_id").alias("i")))
+    near = M.similar_pairs(titles.withColumn("g", X.trigrams(F.col("t"))), "i", "o", "g", share).unionByName(titles.select(F.col("i").alias("l"), F.col("i").alias("r"), F.lit(1.0).alias("similarity")))
+    return M.of_members(near, own.join(titles.hint("merge"), ["o", "t"]).drop("o", "t"), "i", "source_listing_id")
+
+
 def match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of one organisation with trigram similarity from 0.45, whatever the organisation's size."""
-    near = M.similar_pairs(_listings(spark, sf_dir).where("t is not null"), "source_listing_id", "o", "g", M.WEAK)
-    return near.groupBy(F.floor(F.col("similarity") * 20).alias("twentieth")).agg(F.count("*").alias("n_pairs"), F.sum("l").alias("lefts"), F.sum("r").alias("rights"))
+    near = _alike(_listings(spark, sf_dir).select("source_listing_id", "o", "t"), M.WEAK)
+    return near.groupBy(F.floor(F.col("similarity") * 20).alias("twentieth")).agg(F.count("*").alias("n_pairs"), F.sum("l.source_listing_id").alias("lefts"), F.sum("r.source_listing_id").alias("rights"))
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

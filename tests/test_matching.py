@@ -54,7 +54,19 @@ def test_similar_pairs_against_brute_force(spark, share):
     assert M.similar_pairs(df.limit(0), "k", "b", "g", share).count() == 0
 
 
-@pytest.mark.parametrize("name", ["match_recheck"])
+def test_similar_pairs_and_members_send_nothing_to_the_driver(spark):
+    df = spark.createDataFrame([(1, "x", ["a", "b"]), (2, "x", ["a", "b", None]), (3, "y", ["a"])], "k long, b string, g array<string>")
+    near = M.similar_pairs(df, "k", "b", "g", 0.5)
+    assert [(r["l"], r["r"], round(r["similarity"], 6)) for r in near.collect()] == [(1, 2, 0.666667)]
+    members = spark.createDataFrame([(1, 7, "p"), (1, 3, "q"), (2, 5, "r")], "i long, id long, s string")
+    groups = near.unionByName(spark.createDataFrame([(1, 1, 1.0)], "l long, r long, similarity double"))
+    met = M.of_members(groups, members, "i", "id")
+    assert sorted((r["l"]["id"], r["r"]["id"], r["r"]["s"]) for r in met.collect()) == [(3, 5, "r"), (3, 7, "p"), (5, 7, "p")]
+    for made in (near, met):
+        assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["match_titles", "match_recheck"])
 def test_match_queries_broadcast_no_rows(spark, name):
     assert "Broadcast" not in matches.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
 
