@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import names as N
@@ -35,27 +35,37 @@ def match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy(F.floor(F.col("similarity") * 20).alias("twentieth")).agg(F.count("*").alias("n_pairs"), F.sum("l.source_listing_id").alias("lefts"), F.sum("r.source_listing_id").alias("rights"))
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _listings(spark, sf_dir).where("t is not null")
-    carried = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    own = rows.join(carried.where(F.col("n") <= M.VACANCY_LEVEL), "v").select("v", "source_listing_id")
-    by_value = own.alias("a").join(own.alias("b"), F.expr("a.v = b.v and a.source_listing_id < b.source_listing_id")).select(F.col("a.source_listing_id").alias("l"), F.col("b.source_listing_id").alias("r"))
-    met = M.similar_pairs(rows, "source_listing_id", "o", "g", M.WEAK).select("l", "r").union(by_value).distinct()
-    side = lambda p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in ("source_listing_id", "source_slug", "o", "v", "g", "deadline_at", "first_seen_at")))
-    both = met.join(side("l"), F.col("l") == F.col("l_source_listing_id")).join(side("r"), F.col("r") == F.col("r_source_listing_id")).join(carried.withColumnRenamed("v", "_v"), F.col("l_v") == F.col("_v"), "left")
-    near = lambda c: F.abs(F.unix_micros(f"l_{c}") - F.unix_micros(f"r_{c}")) <= M.WINDOW_DAYS * 86_400_000_000
-    told = M.job_decision(F.col("l_source_slug") == F.col("r_source_slug"), X.jaccard(F.col("l_g"), F.col("r_g")), F.col("l_v") == F.col("r_v"), F.col("n"), F.col("l_o") == F.col("r_o"), F.coalesce(near("deadline_at"), F.lit(False)) | F.coalesce(near("first_seen_at"), F.lit(False)))
-    return both.withColumn("d", told).select("l", "r", "l_source_slug", "r_source_slug", "d.decision", "d.confidence").where("decision <> 'distinct'")
+def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions but the distinct ones, on pairs of one value that few carry, and on the other pairs of one organisation.
+
+    A pair of one organisation without a value of its own is distinct below STRONG, so no weaker ones are looked for.
+    """
+    rows = _listings(spark, sf_dir).where("source_listing_id is not null and t is not null").drop("g", "title", "organization", "opp_type")
+    carried = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") <= M.VACANCY_LEVEL)
+    told = rows.join(carried.hint("merge"), "v", "left").withColumn("v", F.when(F.col("n").isNotNull(), F.col("v")))
+    near = lambda c: F.coalesce(F.abs(F.unix_micros(f"l.{c}") - F.unix_micros(f"r.{c}")) <= M.WINDOW_DAYS * 86_400_000_000, F.lit(False))
+
+    def decided(pairs: DataFrame, similarity: Column, same_organization: Column) -> DataFrame:
+        d = M.job_decision(F.col("l.source_slug") == F.col("r.source_slug"), similarity, F.col("l.v") == F.col("r.v"), F.col("l.n"), same_organization, near("deadline_at") | near("first_seen_at"))
+        ends = [F.col(f"{p}.source_listing_id").alias(p) for p in "lr"] + [F.col(f"{p}.source_slug").alias(f"{p}_source_slug") for p in "lr"]
+        return pairs.withColumn("d", d).select(*ends, "d.decision", "d.confidence").where("decision <> 'distinct'")
+
+    own = told.where("v is not null")
+    by_value = own.alias("l").join(own.alias("r").hint("merge"), F.expr("l.v = r.v and l.source_listing_id < r.source_listing_id and l.source_slug <> r.source_slug"))
+    others = _alike(told, M.STRONG).where("l.source_slug <> r.source_slug and not coalesce(l.v = r.v, false)")
+    return decided(by_value, X.jaccard(X.trigrams(F.col("l.t")), X.trigrams(F.col("r.t"))), F.col("l.o") == F.col("r.o")), decided(others, F.col("similarity"), F.lit(True))
 
 
 def match_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on vacancies but the distinct ones, of all pairs that share an organisation or a value."""
-    return _jobs(spark, sf_dir).select("l", "r", "decision", "confidence")
+    by_value, others = _jobs(spark, sf_dir)
+    return by_value.unionByName(others).select("l", "r", "decision", "confidence")
 
 
 def match_held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vacancies' decisions after confirmed pairs that compete on a board are held."""
-    return M.held(_jobs(spark, sf_dir), "l", "r", "l_source_slug", "r_source_slug").groupBy("decision", "confidence").agg(F.count("*").alias("n_pairs"), F.sum("l").alias("lefts"), F.sum("r").alias("rights"))
+    """Vacancies' decisions after confirmed pairs that compete on a board are held; only pairs by value are confirmed, so the others stay as they are."""
+    by_value, others = _jobs(spark, sf_dir)
+    return M.held(by_value, "l", "r", "l_source_slug", "r_source_slug").unionByName(others).groupBy("decision", "confidence").agg(F.count("*").alias("n_pairs"), F.sum("l").alias("lefts"), F.sum("r").alias("rights"))
 
 
 def _tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
