@@ -95,7 +95,7 @@ def held(pairs: DataFrame, left: str, right: str, left_source: str, right_source
     sure = pairs.where("decision = 'confirmed_same'")
     ends = sure.select(F.col(left).alias("_k"), F.col(right_source).alias("_o")).unionByName(sure.select(F.col(right).alias("_k"), F.col(left_source).alias("_o")))
     many = ends.groupBy("_k", "_o").agg(F.count("*").alias("_n")).where("_n > 1").select("_k", "_o")
-    side = lambda k, o, n: many.select(F.col("_k").alias(k), F.col("_o").alias(o), F.lit(True).alias(n))
+    side = lambda k, o, n: many.select(F.col("_k").alias(k), F.col("_o").alias(o), F.lit(True).alias(n)).hint("merge")
     told = pairs.join(side(left, right_source, "_l"), [left, right_source], "left").join(side(right, left_source, "_r"), [right, left_source], "left")
     hold = (F.col("decision") == "confirmed_same") & (F.col("_l").isNotNull() | F.col("_r").isNotNull())
     return told.withColumn("confidence", F.when(hold, 0.6).otherwise(F.col("confidence"))).withColumn("decision", F.when(hold, "needs_review").otherwise(F.col("decision"))).select(*pairs.columns)

@@ -66,7 +66,7 @@ def test_similar_pairs_and_members_send_nothing_to_the_driver(spark):
         assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["match_titles", "match_jobs", "match_recheck"])
+@pytest.mark.parametrize("name", ["match_titles", "match_jobs", "match_held", "match_recheck"])
 def test_match_queries_broadcast_no_rows(spark, name):
     assert "Broadcast" not in matches.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
 
